@@ -68,13 +68,26 @@ class PieceCounter:
         # A plain space stands in for the mark, so that most strings here keep one byte a character.
         self.rank = {model.id_to_piece(i).replace(SPACE_MARK, " "): -model.get_score(i) for i in ids}
         self.joins = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
-        inner = any(a != " " and b == " " for a, b in self.joins)
-        lines = any("\n" in pair for pair in self.joins)
-        # Chunks end before a space, and around a line end, unless a piece reaches across.
-        self.chunks = None if inner else re.compile(" *[^ ]+| +" if lines else " *[^ \n]+| +|\n")
+        self.chunks = self._chunk_pattern()
         self.fragment = Memo(self._count_fragment, memo_bound)
         self.chunk = Memo(self._count_chunk, memo_bound // 4)
 
+    def _chunk_pattern(self) -> re.Pattern | None:
+        """Parts that no vocabulary entry reaches across, as far as a pattern can tell them.
+
+        They end before a space, around a line end and after a run of letters,
+        each only if the vocabulary allows it; ``_count_chunk`` cuts finer.
+        """
+        letters = "A-Za-zÀ-ÖØ-öø-ɏͰ-ӿ"
+        letter = re.compile(f"[{letters}]")
+        if any(a != " " and b == " " for a, b in self.joins):
+            return None
+        if any("\n" in pair for pair in self.joins):
+            return re.compile(" *[^ ]+| +")
+        if any(letter.match(a) and not letter.match(b) for a, b in self.joins):
+            return re.compile(" *[^ \n]+| +|\n")
+        return re.compile(f" *[^{letters} \n]*[{letters}]+| *[^{letters} \n]+| +|\n")
+
     def _count_fragment(self, piece: str) -> int:
         initial = sum(1 if c in self.rank else len(c.encode("utf-8")) for c in piece)
         return initial - merges_made(list(piece), self.rank)
