@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import avi, bytebpe, chat, langid, mixing, quality, tokencount, tokenstore, urlfilter
+from kinfold.llm import avi, bytebpe, chat, langid, mixing, omh, quality, tokencount, tokenstore, urlfilter
 from kinfold.session import table
 
 
@@ -81,6 +81,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read_store(tokenstore.write_store(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = omh.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("rows").alias("n_rows"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -114,7 +119,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op5_token_counts, op6_byte_bpe, op7_chat_format, op8_quality_rules, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op4_near_duplicates, op5_token_counts, op6_byte_bpe, op7_chat_format, op8_quality_rules, op9_media, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
