@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -55,7 +56,7 @@ class WordEncoder:
     SAFE = re.compile("[\t\n -~À-ÖØ-öø-ÿ]*")
     PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 
-    def __init__(self, path: str, memo_bound: int = 500_000):
+    def __init__(self, path: str, memo_bound: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,27 +65,29 @@ class WordEncoder:
         rest = [b for b in range(256) if b not in plain]
         self.table = {b: 256 + i for i, b in enumerate(rest)}
         self.part = Memo(self._part, memo_bound)
-        self.word = Memo(self._word, memo_bound)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.table)
-        return [t.id for t in self.model.tokenize(mapped)]
+        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _word(self, word: str) -> np.ndarray:
-        low = word.lower()
-        ids = self.part[low] if low.isalpha() else [i for p in self.PARTS.findall(low) for i in self.part[p]]
-        return np.array(ids, np.int32)
+    def word(self, word: str) -> bytes:
+        """Ids of a word as native 16-bit integers."""
+        low, part = word.lower(), self.part
+        if low.isalpha():
+            return part[low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return part[low[:-1]] + part[low[-1]]
+        return b"".join([part[p] for p in self.PARTS.findall(low)])
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+    def whole(self, text: str) -> bytes:
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def safe(self, text: str) -> bool:
         return "<|" not in text and self.SAFE.fullmatch(text) is not None
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.safe(text):
-            return self.whole(text)
-        return np.concatenate([np.zeros(0, np.int32), *map(self.word.__getitem__, text.split())])
+        ids = b"".join(map(self.word, text.split())) if self.safe(text) else self.whole(text)
+        return np.frombuffer(ids, np.uint16).astype(np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -146,11 +149,15 @@ def repair(words: list[np.ndarray], order: np.ndarray, base: int, end: int = END
     Symbols from ``base`` up are nonterminals; rule *i* defines ``base + i``;
     ``limit`` bounds the symbols so that they fit the stored width.
     """
-    rules: list[tuple[int, int]] = []
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.concatenate([np.zeros(0, np.int32), *words])
-    owner = np.repeat(np.arange(len(words)), sizes)
-    times = np.bincount(order, minlength=len(words)).astype(np.int64)
+    return _repair(np.concatenate([np.zeros(0, np.int32), *words]), sizes, order, base, end, least, limit)
+
+
+def _repair(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, base: int, end: int = END, least: int = MIN_COUNT, limit: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    rules: list[tuple[int, int]] = []
+    n_words = len(sizes)
+    owner = np.repeat(np.arange(n_words), sizes)
+    times = np.bincount(order, minlength=n_words).astype(np.int64)
     for _ in range(WORD_ROUNDS):
         joined = owner[:-1] == owner[1:]
         joined &= (flat[:-1] != end) & (flat[1:] != end)
@@ -161,7 +168,7 @@ def repair(words: list[np.ndarray], order: np.ndarray, base: int, end: int = END
         flat, stay = _replace(flat, pairs, base + len(rules), joined)
         flat, owner = flat[stay], owner[stay]
         rules += pairs
-    sizes = np.bincount(owner, minlength=len(words))
+    sizes = np.bincount(owner, minlength=n_words)
     sequence = _gather(flat, np.cumsum(sizes) - sizes, sizes, order)
     for _ in range(SEQUENCE_ROUNDS):
         free = (sequence[:-1] != end) & (sequence[1:] != end)
@@ -250,6 +257,19 @@ class Shard:
 
 
 # -- tables -------------------------------------------------------------------
+class _Index(dict):
+    """Numbers of a shard's distinct words; a new word's ids join ``words``."""
+
+    def __init__(self, words: list[bytes], ids_of):
+        super().__init__()
+        self.words, self.ids_of = words, ids_of
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(self.ids_of(word))
+        return number
+
+
 class _Builder:
     """Collects documents up to a shard's size."""
 
@@ -258,16 +278,12 @@ class _Builder:
         self.reset()
 
     def reset(self) -> None:
-        self.words: list[np.ndarray] = [np.array([END], np.int32)]
-        self.index = Memo(self._add, 1 << 62)
+        self.words: list[bytes] = [array("H", [END]).tobytes()]
+        self.index = _Index(self.words, self.code.word)
         self.orders: list[np.ndarray] = []
         self.doc_ids: list = []
         self.n_words = 0
 
-    def _add(self, word: str) -> int:
-        self.words.append(self.code.word[word])
-        return len(self.words) - 1
-
     def add(self, doc_id, text: str | None) -> None:
         text = text or ""
         if self.code.safe(text):
@@ -281,12 +297,12 @@ class _Builder:
         self.n_words += len(order) + 1
 
     def finish(self) -> tuple[list, int, bytes]:
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) // 2
         tokens = np.array([sizes[o].sum() for o in self.orders], np.int64)
-        packed = pack(*repair(self.words, np.concatenate(self.orders), self.base), tokens, self.base)
+        flat = np.frombuffer(b"".join(self.words), np.uint16).astype(np.int32)
+        packed = pack(*_repair(flat, sizes, np.concatenate(self.orders), self.base), tokens, self.base)
         out = self.doc_ids, int(tokens.sum()), packed
         self.reset()
-        self.code.word.trim()
         self.code.part.trim()
         return out
 
