@@ -184,6 +184,32 @@ def test_classes_of_documents(spark, small):
     assert {r.id: r.class_id for r in omh.classes(docs).collect()} == brute_classes(rows)
 
 
+@pytest.mark.parametrize("length", [20, 50, 100, 300])
+def test_links_at_the_threshold_share_a_bucket(length):
+    """A fifth of the words replaced, at places drawn at random."""
+    rng, missed = random.Random(length), 0
+    for t in range(200):
+        words = [f"t{t}w{i}" for i in range(length)]
+        copy = list(words)
+        for at in rng.sample(range(length), length // 5):
+            copy[at] = f"t{t}n{at}"
+        x, y = (omh.word_hashes(" ".join(w)) for w in (words, copy))
+        assert omh.within(x, y) == length // 5
+        missed += not set(omh.bucket_keys(x)) & set(omh.bucket_keys(y))
+    assert missed == 0
+
+
+def test_classes_at_the_threshold(spark):
+    ship(spark)
+    rng, rows = random.Random(21), []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(100)]
+        changed = set(rng.sample(range(100), 20))
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(f"n{g}x{i}" if i in changed else w for i, w in enumerate(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: r.class_id for r in omh.classes(docs).collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_keep_one(spark, odd):
     docs = odd.withColumn("digest", F.lit("clash")).withColumn("id", F.lit("clash"))
     kept = omh.keep_one(docs)
