@@ -210,6 +210,32 @@ def test_classes_at_the_threshold(spark):
     assert {r.id: r.class_id for r in omh.classes(docs).collect()} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_rare_words_of_repeated_rows_and_of_two_texts(spark):
+    """Each text of an id brings a prefix of its own, however many rows the id has."""
+    ship(spark)
+    words = [f"w{i}" for i in range(50)]
+    near = " ".join(words[:42] + [f"n{i}" for i in range(8)])
+    other = " ".join(f"o{i}" for i in range(40))
+    members = spark.createDataFrame([(i, i) for i in range(4)], "id long, comp long")
+    for rows in ([(1, " ".join(words))] * 10 + [(2, near)], [(1, " ".join(words)), (1, other), (2, near)]):
+        docs = spark.createDataFrame(rows, "id long, text string")
+        assert [tuple(r) for r in omh._rare_word_pairs(docs, members, 0.8).collect()] == [(1, 2)]
+
+
+def test_classes_of_repeated_rows_in_large_buckets(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(omh, "SMALL", 2)
+    rng, passage, rows = random.Random(22), [f"p{i}" for i in range(40)], []
+    rows += [(i, " ".join(passage + [f"d{i}x{k}" for k in range(40)])) for i in range(20)]
+    for g in range(6):
+        text = passage + [f"g{g}w{k}" for k in range(40)]
+        copy = text[:40] + corrupt(rng, text[40:], 0.2)
+        rows += [(100 + 2 * g, " ".join(text))] * (1 if g % 2 else 12) + [(101 + 2 * g, " ".join(copy))]
+        rows += [(100 + 2 * g, " ".join(f"o{g}x{k}" for k in range(60)))] * (g % 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.id: r.class_id for r in omh.classes(docs).collect()} == brute_classes(rows)
+
+
 def test_keep_one(spark, odd):
     docs = odd.withColumn("digest", F.lit("clash")).withColumn("id", F.lit("clash"))
     kept = omh.keep_one(docs)
