@@ -10,7 +10,7 @@ from kinfold.functions.text import frame_address, frame_name
 from kinfold.operators import blocking, features, matching, metrics, reports, validator
 from kinfold.sources import synthetic, tsv
 
-CAP, TOP_K, GRID = 500, 50, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
+CAP, TOP_K, GRID = Config().max_key_freq, 50, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 
 
 def _sources(spark, sf_dir):
@@ -189,6 +189,7 @@ def gbt_match(spark, sf_dir):
 
 
 # -- SQL ----------------------------------------------------------------------
+SQL_CAP = 500  #: of the dealt SQL, which is left as it is; it drops keys that the queries keep from 501 occurrences on
 _KEYS = r"""
 prep AS (
   SELECT entity_id, coalesce(business_name, '') AS business_name_raw, coalesce(business_address, '') AS business_address_raw, coalesce(country, 'UNKNOWN') AS country_raw,
@@ -202,7 +203,7 @@ prep AS (
   UNION ALL SELECT country_raw, entity_id, 'd:' || w FROM (SELECT country_raw, entity_id, unnest(string_split(business_name_raw || ' ' || business_address_raw, ' ')) AS w FROM prep) WHERE regexp_full_match(w, '[+-]?[0-9]+') AND length(w) BETWEEN 3 AND 6
 ), keys AS (SELECT country, entity_id, key, count(*)::BIGINT AS times FROM tokens GROUP BY ALL)"""
 _SCORES = f"""{_KEYS}, weights AS (
-  SELECT country, key, sum(times)::BIGINT AS df, 1.0::DOUBLE / (1.0 + ln(sum(times)::DOUBLE)) AS weight FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY country, key HAVING sum(times) <= {CAP}
+  SELECT country, key, sum(times)::BIGINT AS df, 1.0::DOUBLE / (1.0 + ln(sum(times)::DOUBLE)) AS weight FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY country, key HAVING sum(times) <= {SQL_CAP}
 ), scored AS (
   SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, sum(x.times * y.times * round(w.weight * 1e9)::BIGINT)::DOUBLE / 1e9 AS score
   FROM keys x JOIN keys y ON x.country = y.country AND x.key = y.key JOIN weights w ON w.country = y.country AND w.key = y.key WHERE x.entity_id LIKE 'S1-%' AND y.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2

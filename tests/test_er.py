@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.config import Config
 from kinfold.operators import blocking, features, matching, metrics, reports, validator
-from kinfold.plans import resolve
+from kinfold.plans import queries, resolve
 from kinfold.sources import synthetic, tsv
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
@@ -54,6 +54,15 @@ def test_weights_scores_and_top(spark, basic):
     assert any(r.key == "n3p:blu" for r in blocking.blocking_keys(s1, prefix_keys=True).collect())
 
 
+def test_queries_keep_keys_up_to_the_operators_cap(spark, monkeypatch):
+    """A name word with 600 occurrences counts, one with 2001 does not."""
+    rows = [("S1-1", "plenty", None, "A"), ("S1-2", "common", None, "A")]
+    rows += [(f"S2-{i}", "plenty", None, "A") for i in range(600)] + [(f"S3-{i}", "common", None, "A") for i in range(2001)]
+    monkeypatch.setattr(synthetic, "records", lambda spark, sf_dir: spark.createDataFrame(rows, RECORD))
+    assert {r.s1_id: r["count"] for r in queries.blocking_scores(spark, "").groupBy("s1_id").count().collect()} == {"S1-1": 600}
+    assert [(r.key, r.df) for r in queries.key_idf_weights(spark, "").collect()] == [("nw:plenty", 600)]
+
+
 def test_top_k_ties_go_to_lesser_id(spark):
     rows = [("S1-1", "same thing", None, "A")] + [(f"S2-{i}", "same thing", None, "A") for i in range(9)]
     s1, others = blocking.split_sources(spark.createDataFrame(rows, RECORD))
