@@ -15,7 +15,7 @@ class Config:
     train_sample_size: int = 15_000
     tune_ratio: float = 0.2  #: share of the sample that the threshold is chosen on
     test_ratio: float = 0.2  #: share that is only reported on
-    model_rounds: int = 20
+    model_rounds: int = 300
     model_depth: int = 6
     step_size: float = 0.05
     subsample: float = 0.8

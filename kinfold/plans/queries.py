@@ -184,7 +184,7 @@ def gbt_match(spark, sf_dir):
     """Train, choose a threshold, and score: the metrics on held-out reference records."""
     from kinfold.plans import resolve
 
-    done = resolve.train(synthetic.records(spark, sf_dir), _truth(spark, sf_dir), Config(max_key_freq=CAP, blocking_top_k=10, model_rounds=10))
+    done = resolve.train(synthetic.records(spark, sf_dir), _truth(spark, sf_dir), Config())
     return done.test_metrics.withColumn("threshold", F.lit(done.threshold))
 
 

@@ -63,6 +63,21 @@ def test_queries_keep_keys_up_to_the_operators_cap(spark, monkeypatch):
     assert [(r.key, r.df) for r in queries.key_idf_weights(spark, "").collect()] == [("nw:plenty", 600)]
 
 
+def test_gbt_match_trains_the_whole_model(monkeypatch):
+    seen = []
+
+    def train(records, truth, config):
+        seen.append(config)
+        raise StopIteration
+
+    monkeypatch.setattr(resolve, "train", train)
+    monkeypatch.setattr(synthetic, "records", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries, "_truth", lambda spark, sf_dir: None)
+    with pytest.raises(StopIteration):
+        queries.gbt_match(None, "")
+    assert (seen[0].blocking_top_k, seen[0].max_key_freq, seen[0].model_rounds, seen[0].step_size) == (50, 2000, 300, 0.05)
+
+
 def test_top_k_ties_go_to_lesser_id(spark):
     rows = [("S1-1", "same thing", None, "A")] + [(f"S2-{i}", "same thing", None, "A") for i in range(9)]
     s1, others = blocking.split_sources(spark.createDataFrame(rows, RECORD))
