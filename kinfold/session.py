@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Arrow batches to and from Python workers; documents may be long, and a worker holds a batch several times over.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 _shipped: set[str] = set()
 
 
@@ -32,8 +34,12 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the application's Python workers, once per application.
 
     The driver hands the archive to Spark, whose file server sends it to every
-    executor; nothing is expected to be installed there.
+    executor; nothing is expected to be installed there.  Arrow batches get a
+    bound of ``BATCH_BYTES`` unless the session has a lower one.
     """
+    name, most = BATCH_BYTES
+    if spark.conf.get(name).removesuffix("b") in ("-1", str(64 << 20)):
+        spark.conf.set(name, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
