@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 
@@ -23,3 +24,7 @@ class Config:
     threshold_grid: tuple[float, ...] = tuple(round(0.20 + 0.05 * i, 2) for i in range(13))
     default_threshold: float = 0.55
     ablation_grid: tuple[float, ...] = field(default=(0.30, 0.40, 0.50, 0.55, 0.60, 0.70))
+
+    def digest(self) -> str:
+        """Names tables made with these settings."""
+        return hashlib.md5(repr(self).encode()).hexdigest()[:12]

@@ -53,12 +53,36 @@ def blocking_keys(df: DataFrame, prefix_keys: bool = False, dedupe_keys: bool =
     """(country, entity_id, key, times): each distinct key of a record and how often it has it."""
     keyed = normalize_records(df).select(F.col("country_raw").alias("country"), "entity_id", key_array(prefix_keys).alias("__keys"))
     keyed = keyed.select("country", "entity_id", F.array_sort("__keys").alias("__keys"))
-    runs = F.transform(F.array_distinct("__keys"), lambda k: F.struct(k.alias("key"), F.size(F.filter("__keys", lambda x: x == k)).cast("long").alias("times")))
+    first = F.filter(F.transform("__keys", lambda k, i: F.when((i == 0) | (k != F.get("__keys", i - 1)), i)), lambda i: i.isNotNull())  # where runs of equal keys start
+    keyed = keyed.select("country", "entity_id", "__keys", first.alias("__first"))
+    runs = F.transform("__first", lambda i, j: F.struct(F.get("__keys", i).alias("key"), (F.coalesce(F.get("__first", j + 1), F.size("__keys")) - i).cast("long").alias("times")))
     exploded = keyed.select("country", "entity_id", F.explode(runs).alias("k"))
     times = F.lit(1).cast("long") if dedupe_keys else F.col("k.times")
     return exploded.select("country", "entity_id", F.col("k.key").alias("key"), times.alias("times"))
 
 
+#: Words that the pattern channel takes out of names, and out of addresses.
+NAME_STOP_WORDS = (
+    "inc", "llc", "ltd", "limited", "corp", "corporation", "pvt", "private", "co", "company", "and", "or", "the", "of", "for", "in", "on", "at", "to", "a", "an", "sa", "sarl", "gmbh",
+    "enterprises", "services", "solutions", "systems", "traders", "group", "center", "service", "shop", "store", "llp",
+)
+ADDRESS_STOP_WORDS = (
+    "road", "street", "lane", "nagar", "city", "flat", "near", "floor", "block", "plot", "building", "opp", "opposite", "behind", "post", "dist", "district", "state", "maharashtra", "delhi", "karnataka", "kerala",
+    "tamil", "nadu", "gujarat", "bengal", "uttar", "pradesh", "rajasthan", "andhra", "telangana", "route", "rue", "avenue", "bd", "boulevard", "cedex", "paris",
+)
+
+
+def pattern_keys(df: DataFrame) -> DataFrame:
+    """(country, entity_id, key), distinct: words, numbers and three-letter prefixes found by pattern after stop words are taken out."""
+    without = lambda c, words: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), rf"(?U)\b(?:{'|'.join(words)})\b", "")
+    cleaned = df.select(F.coalesce("country", F.lit("UNKNOWN")).alias("country"), "entity_id", without("business_name", NAME_STOP_WORDS).alias("n"), without("business_address", ADDRESS_STOP_WORDS).alias("a"))
+    found = lambda c, pattern: F.regexp_extract_all(c, F.lit(rf"(?U)\b{pattern}\b"), 0)
+    words, both = found(F.col("n"), "[a-z0-9]{3,}"), F.concat_ws(" ", "n", "a")
+    prefixes = F.transform(words, lambda w: F.substring(w, 1, 3))
+    keys = F.concat(_channel("nw:", words), _channel("aw:", found(F.col("a"), "[a-z]{3,}")), _channel("d:", found(both, r"[0-9]{1,6}")), _channel("n3p:", prefixes))
+    return cleaned.select("country", "entity_id", F.explode(F.array_distinct(keys)).alias("key"))
+
+
 def key_weights(candidate_keys: DataFrame, max_key_freq: int) -> DataFrame:
     """(country, key, df, weight): ``1 / (1 + ln df)`` for keys with at most ``max_key_freq`` occurrences."""
     counts = candidate_keys.groupBy("country", "key").agg(F.sum("times").alias("df")).where(F.col("df") <= max_key_freq)
@@ -76,7 +100,8 @@ def scores(s1: DataFrame, others: DataFrame, max_key_freq: int = 2000, prefix_ke
     theirs = blocking_keys(others, prefix_keys, dedupe_keys).withColumnsRenamed({"entity_id": "cand_id", "times": "n"})
     weights = key_weights(theirs.withColumnRenamed("n", "times"), max_key_freq).select("country", "key", F.round(F.col("weight") * SCALE).cast("long").alias("w"))
     hits = mine.join(theirs.join(weights, ["country", "key"]), ["country", "key"])
-    summed = hits.groupBy("s1_id", "cand_id").agg(F.sum(F.col("m") * F.col("n") * F.col("w")).alias("__score"))
+    # One exchange, by reference record, serves the sums, the ranking and the join that adds records without candidates.
+    summed = hits.repartition("s1_id").groupBy("s1_id", "cand_id").agg(F.sum(F.col("m") * F.col("n") * F.col("w")).alias("__score"))
     return summed.select("s1_id", "cand_id", (F.col("__score") / SCALE).alias("blocking_score"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import os
 from html import escape
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import id_list
+from kinfold.sources.tsv import save_json
 
 
 def country_counts(records: DataFrame) -> DataFrame:
@@ -51,3 +54,40 @@ def html_table(title: str, rows: list[dict]) -> str:
     head = "".join(f"<th>{escape(str(k))}</th>" for k in rows[0])
     body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r.values()) + "</tr>" for r in rows)
     return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
+
+
+def eda(records: DataFrame, truth: DataFrame, pairs: DataFrame) -> dict:
+    """The exploratory summary: rows and countries of each source, match counts, singletons, and cross-country pairs, which are counted."""
+    counts: dict[str, dict] = {}
+    for r in country_counts(records).orderBy(F.desc("n"), "country").collect():
+        counts.setdefault(r.source, {})[r.country] = r.n
+    summary = truth_summary(truth).first()
+    return {
+        "dataset_statistics": {s: {"rows": sum(c.values()), "countries": c} for s, c in sorted(counts.items())},
+        "ground_truth_distribution": {**summary.asDict(), "match_count_distribution": {r.matches: r.entities for r in match_histogram(truth).orderBy("matches").collect()}},
+        "noise_characteristics": {"cross_country_matches": cross_country(pairs, records).count()},
+    }
+
+
+def eda_html(summary: dict) -> str:
+    sizes = [{"source": s, "rows": x["rows"], "countries": len(x["countries"])} for s, x in summary["dataset_statistics"].items()]
+    found = {k: v for k, v in summary["ground_truth_distribution"].items() if k != "match_count_distribution"}
+    matches = [{"matches": k, "entities": v} for k, v in summary["ground_truth_distribution"]["match_count_distribution"].items()]
+    parts = html_table("Sources", sizes), html_table("Truth", [found]), html_table("Matches of a reference record", matches), html_table("Pairs", [summary["noise_characteristics"]])
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Entity resolution: the data</title></head><body>{''.join(parts)}</body></html>"
+
+
+def write_eda(summary: dict, folder: str) -> None:
+    """``eda_summary.json`` and ``eda_report.html``, written by the driver."""
+    save_json(summary, f"{folder}/eda_summary.json")
+    with open(f"{folder}/eda_report.html", "w", encoding="utf-8") as f:
+        f.write(eda_html(summary))
+
+
+def write_csv(rows: list[dict], path: str) -> None:
+    """A small table, such as the outcome of an ablation, written by the driver."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.DictWriter(f, fieldnames=list(rows[0]) if rows else [])
+        out.writeheader()
+        out.writerows(rows)

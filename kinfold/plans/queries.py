@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.config import Config
-from kinfold.functions.text import frame_address, frame_name
+from kinfold.durable import durable
+from kinfold.functions.text import ADDRESS_WORDS, LEGAL_WORDS, frame_address, frame_name
 from kinfold.operators import blocking, features, matching, metrics, reports, validator
+from kinfold.plans.ratio_sql import fuzzy_sql, heuristic_sql
 from kinfold.sources import synthetic, tsv
 
 CAP, TOP_K, GRID = Config().max_key_freq, 50, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -29,11 +31,11 @@ def _top(spark, sf_dir) -> DataFrame:
     return blocking.candidates(*_sources(spark, sf_dir), top_k=TOP_K, max_key_freq=CAP)
 
 
-def _jaccard_scored(spark, sf_dir) -> DataFrame:
+def _jaccard_scored(spark, sf_dir, top: DataFrame | None = None) -> DataFrame:
     """Candidates scored by the overlap of their frame-normalised words: a score that SQL can express too."""
     words = synthetic.records(spark, sf_dir).select("entity_id", F.array_distinct(F.split(F.concat_ws(" ", frame_name(F.col("business_name")), frame_address(F.col("business_address"))), " ")).alias("w"))
     x, y = words.select(F.col("entity_id").alias("s1_id"), F.col("w").alias("x")), words.select(F.col("entity_id").alias("cand_id"), F.col("w").alias("y"))
-    both = _top(spark, sf_dir).where("cand_id is not null").join(x, "s1_id").join(y, "cand_id")
+    both = (_top(spark, sf_dir) if top is None else top).where("cand_id is not null").join(x, "s1_id").join(y, "cand_id")
     return both.select("s1_id", "cand_id", F.round(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y")), 6).alias("prob"))
 
 
@@ -53,6 +55,10 @@ def blocking_keys_prefix(spark, sf_dir):
     return blocking.blocking_keys(synthetic.records(spark, sf_dir), prefix_keys=True, dedupe_keys=True)
 
 
+def pattern_blocking_keys(spark, sf_dir):
+    return blocking.pattern_keys(synthetic.records(spark, sf_dir))
+
+
 def key_idf_weights(spark, sf_dir):
     keys = blocking.blocking_keys(_sources(spark, sf_dir)[1])
     return blocking.key_weights(keys, CAP).withColumn("weight", F.round("weight", 6))
@@ -128,7 +134,8 @@ def threshold_grid(spark, sf_dir):
 
 
 def matches_decided(spark, sf_dir):
-    return matching.decide(_jaccard_scored(spark, sf_dir), 0.55, _top(spark, sf_dir))
+    top = durable(_top(spark, sf_dir), "er-candidates")
+    return matching.decide(_jaccard_scored(spark, sf_dir, top), 0.55, top)
 
 
 def matching_lists(spark, sf_dir):
@@ -168,16 +175,44 @@ def id_anti_join(spark, sf_dir):
     return validator.not_in_candidates(_truth(spark, sf_dir), _top(spark, sf_dir).where("cand_id is not null"))
 
 
+def _some_unknown(spark, sf_dir) -> DataFrame:
+    """Candidates of which those with an id that 7 divides name a record that there is not."""
+    top = _top(spark, sf_dir).where("cand_id is not null")
+    return top.withColumn("cand_id", F.when(F.split_part("cand_id", F.lit("-"), F.lit(2)).cast("long") % 7 == 0, F.concat(F.col("cand_id"), F.lit("x"))).otherwise(F.col("cand_id")))
+
+
+def features_with_unknown_ids(spark, sf_dir):
+    full = features.pair_features(_some_unknown(spark, sf_dir), synthetic.records(spark, sf_dir), fuzzy=False, keep_unknown=True)
+    return _rounded(full.select("s1_id", "cand_id", "name_exact_match", "name_len_diff", "addr_missing_flag", "name_jaccard", "dig_count_shared", "is_s2"))
+
+
+def fast_mode_features(spark, sf_dir):
+    """The native features of the fast mode, over the first five of every list."""
+    from kinfold.plans.resolve import fast_mode
+
+    records = synthetic.records(spark, sf_dir)
+    return _rounded(features.pair_features(fast_mode(candidate_lists(spark, sf_dir)), records, fuzzy=False, view=features.fast_view(records)))
+
+
+def overlap_scores(spark, sf_dir):
+    """The hand-weighted scorer with plain word overlaps in place of fuzzy ratios."""
+    scored = matching.score_pairs(_request_pairs(spark, sf_dir), native=True)
+    return scored.select("s1_id", "cand_id", "confidence_score", "is_match", "decision", "numeric_anchor_match")
+
+
 def fuzzy_features(spark, sf_dir):
-    return features.pair_features(_top(spark, sf_dir), synthetic.records(spark, sf_dir))
+    return _rounded(features.pair_features(_top(spark, sf_dir), synthetic.records(spark, sf_dir)))
 
 
-def heuristic_score(spark, sf_dir):
+def _request_pairs(spark, sf_dir) -> DataFrame:
     records = synthetic.records(spark, sf_dir)
     x = records.select(F.col("entity_id").alias("s1_id"), F.col("business_name").alias("s1_name"), F.col("business_address").alias("s1_address"), F.col("country").alias("s1_country"))
     y = records.select(F.col("entity_id").alias("cand_id"), F.col("business_name").alias("cand_name"), F.col("business_address").alias("cand_address"), F.col("country").alias("cand_country"))
-    pairs = _top(spark, sf_dir).where("cand_id is not null").select("s1_id", "cand_id", "rank").join(x, "s1_id").join(y, "cand_id")
-    return matching.ranked_batch(matching.score_pairs(pairs).withColumnRenamed("rank", "position"), "s1_id").select("s1_id", "cand_id", "confidence_score", "is_match", "decision", "rank", "total_candidates", "match_count")
+    return _top(spark, sf_dir).where("cand_id is not null").select("s1_id", "cand_id", "rank").join(x, "s1_id").join(y, "cand_id")
+
+
+def heuristic_score(spark, sf_dir):
+    return matching.ranked_batch(matching.score_pairs(_request_pairs(spark, sf_dir)).withColumnRenamed("rank", "position"), "s1_id").select("s1_id", "cand_id", "confidence_score", "is_match", "decision", "rank", "total_candidates", "match_count")
 
 
 def gbt_match(spark, sf_dir):
@@ -189,7 +224,6 @@ def gbt_match(spark, sf_dir):
 
 
 # -- SQL ----------------------------------------------------------------------
-SQL_CAP = 500  #: of the dealt SQL, which is left as it is; it drops keys that the queries keep from 501 occurrences on
 _KEYS = r"""
 prep AS (
   SELECT entity_id, coalesce(business_name, '') AS business_name_raw, coalesce(business_address, '') AS business_address_raw, coalesce(country, 'UNKNOWN') AS country_raw,
@@ -203,7 +237,7 @@ prep AS (
   UNION ALL SELECT country_raw, entity_id, 'd:' || w FROM (SELECT country_raw, entity_id, unnest(string_split(business_name_raw || ' ' || business_address_raw, ' ')) AS w FROM prep) WHERE regexp_full_match(w, '[+-]?[0-9]+') AND length(w) BETWEEN 3 AND 6
 ), keys AS (SELECT country, entity_id, key, count(*)::BIGINT AS times FROM tokens GROUP BY ALL)"""
 _SCORES = f"""{_KEYS}, weights AS (
-  SELECT country, key, sum(times)::BIGINT AS df, 1.0::DOUBLE / (1.0 + ln(sum(times)::DOUBLE)) AS weight FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY country, key HAVING sum(times) <= {SQL_CAP}
+  SELECT country, key, sum(times)::BIGINT AS df, 1.0::DOUBLE / (1.0 + ln(sum(times)::DOUBLE)) AS weight FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY country, key HAVING sum(times) <= {CAP}
 ), scored AS (
   SELECT x.entity_id AS s1_id, y.entity_id AS cand_id, sum(x.times * y.times * round(w.weight * 1e9)::BIGINT)::DOUBLE / 1e9 AS score
   FROM keys x JOIN keys y ON x.country = y.country AND x.key = y.key JOIN weights w ON w.country = y.country AND w.key = y.key WHERE x.entity_id LIKE 'S1-%' AND y.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2
@@ -239,14 +273,14 @@ FROM (SELECT *, coalesce(true_positives::DOUBLE / nullif(total_predicted_pairs,
   SELECT avg(f05) AS macro_f05, avg(precision) AS macro_precision, avg(recall) AS macro_recall, coalesce(avg(CASE WHEN n_true = 0 THEN (n_pred = 0)::INT::DOUBLE END), 1.0) AS singleton_accuracy,
     count(*) FILTER (n_true = 0) AS singleton_count, count(*) FILTER (n_true = 0 AND n_pred = 0) AS singleton_correct, sum(n_true)::BIGINT AS total_true_pairs, sum(n_pred)::BIGINT AS total_predicted_pairs, sum(tp)::BIGINT AS true_positives FROM ent))"""
 
-_LEGAL = "private\\s+limited|pvt\\s+ltd|pvt\\s+limited|p\\s+ltd|p\\s+limited|llp|llc|inc|incorporated|corp|corporation|ltd|limited|co|company|gmbh|sa|sarl|sas|sasu|eurl|spa|bv|nv|traders|enterprises|services|solutions|systems|group|holdings|technologies|associates|partners|center|shop|store"
+_LEGAL = "|".join(LEGAL_WORDS)
 #: strip_accents is the fold of the letters that the generator uses.
 _NAME = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(strip_accents({c})), '&', ' and '), '@', ' '), '[^\\w\\s]', ' ', 'g'), '\\b(?:{_LEGAL})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 def _address(c: str) -> str:
     out = f"lower(strip_accents({c}))"
-    for short, long in (("rd", "road"), ("st", "street"), ("ave", "avenue"), ("ln", "lane"), ("blvd", "boulevard"), ("apt", "apartment"), ("no", "number")):
+    for short, long in ADDRESS_WORDS.items():
         out = f"regexp_replace({out}, '\\b{short}\\b', '{long}', 'g')"
     return f"trim(regexp_replace(regexp_replace({out}, '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -265,6 +299,32 @@ _NATIVE_SQL = f"""SELECT s1_id, cand_id, (lower(xname) = lower(yname) AND xname
   (NOT gone AND lower(xaddr) = lower(yaddr))::INT::DOUBLE AS addr_exact_match, round(CASE WHEN gone THEN 0.0 ELSE {_J('xat', 'yat')} END, 6) AS addr_jaccard, abs(length(xa) - length(ya))::DOUBLE AS addr_len_diff, gone::INT::DOUBLE AS addr_missing_flag, {_DIGITS},
   (coalesce(upper(trim(xc)), 'NONE') = coalesce(upper(trim(yc)), 'NONE'))::INT::DOUBLE AS country_exact_match, starts_with(cand_id, 'S2-')::INT::DOUBLE AS is_s2, round(score, 6) AS blocking_score FROM h"""
 _BASELINE = "named AS (SELECT s1_id, cand_id FROM top JOIN records x ON x.entity_id = s1_id JOIN records y ON y.entity_id = cand_id WHERE lower(trim(coalesce(x.business_name, ''))) = lower(trim(coalesce(y.business_name, ''))) AND trim(coalesce(x.business_name, '')) <> '')"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_WORDS_OF = lambda c, stop: f"list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: NOT list_contains({_LIST(stop)}, w))"
+_PATTERN_KEYS = f"""cleaned AS (SELECT coalesce(country, 'UNKNOWN') AS country, entity_id, {_WORDS_OF('business_name', blocking.NAME_STOP_WORDS)} AS n, {_WORDS_OF('business_address', blocking.ADDRESS_STOP_WORDS)} AS a FROM records
+), found AS (
+  SELECT country, entity_id, unnest(list_transform(list_filter(n, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}')), lambda w: 'nw:' || w)) AS key FROM cleaned
+  UNION ALL SELECT country, entity_id, unnest(list_transform(list_filter(a, lambda w: regexp_full_match(w, '[a-z]{{3,}}')), lambda w: 'aw:' || w)) FROM cleaned
+  UNION ALL SELECT country, entity_id, unnest(list_transform(list_filter(list_concat(n, a), lambda w: regexp_full_match(w, '[0-9]{{1,6}}')), lambda w: 'd:' || w)) FROM cleaned
+  UNION ALL SELECT country, entity_id, unnest(list_transform(list_filter(n, lambda w: regexp_full_match(w, '[a-z0-9]{{3,}}')), lambda w: 'n3p:' || substr(w, 1, 3))) FROM cleaned)"""
+_UNKNOWN_SQL = f"""SELECT s1_id, cand_id, (lower(xname) = lower(yname) AND xname <> '')::INT::DOUBLE AS name_exact_match, abs(length(xn) - length(yn))::DOUBLE AS name_len_diff, (xaddr IN ('', 'None') OR yaddr IN ('', 'None'))::INT::DOUBLE AS addr_missing_flag,
+  round({_J('xnt', 'ynt')}, 6) AS name_jaccard, len(list_intersect(xdg, ydg))::DOUBLE AS dig_count_shared, starts_with(cand_id, 'S2-')::INT::DOUBLE AS is_s2
+FROM (SELECT t.s1_id, t.cand_id, x.name AS xname, coalesce(y.name, '') AS yname, x.n AS xn, coalesce(y.n, '') AS yn, x.addr AS xaddr, coalesce(y.addr, '') AS yaddr, x.nt AS xnt, coalesce(y.nt, []::VARCHAR[]) AS ynt, x.dg AS xdg, coalesce(y.dg, []::VARCHAR[]) AS ydg
+  FROM (SELECT s1_id, CASE WHEN split_part(cand_id, '-', 2)::BIGINT % 7 = 0 THEN cand_id || 'x' ELSE cand_id END AS cand_id FROM top) t JOIN view x ON x.entity_id = t.s1_id LEFT JOIN view y ON y.entity_id = t.cand_id)"""
+_FAST_H = f"""{_SCORES}, fast AS (SELECT s1_id, cand_id, 5.0::DOUBLE / (1 + position) AS score FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY cand_id) - 1 AS position FROM top) WHERE position < 5
+), fview AS (
+  SELECT *, list_filter("at", lambda w: regexp_full_match(w, '\\p{{Nd}}+')) AS dg FROM (SELECT entity_id, country_raw AS country, business_name_normalized AS n, business_address_normalized AS a,
+    list_distinct(list_filter(string_split(business_name_normalized, ' '), lambda w: w <> '')) AS nt, list_distinct(list_filter(string_split(business_address_normalized, ' '), lambda w: w <> '')) AS at FROM prep)
+), h AS (
+  SELECT s1_id, cand_id, score, x.n AS xname, y.n AS yname, x.a AS xaddr, y.a AS yaddr, x.n AS xn, y.n AS yn, x.a AS xa, y.a AS ya, x.nt AS xnt, y.nt AS ynt, x.at AS xat, y.at AS yat, x.dg AS xdg, y.dg AS ydg, x.country AS xc, y.country AS yc, (x.a IN ('', 'None') OR y.a IN ('', 'None')) AS gone
+  FROM fast JOIN fview x ON x.entity_id = s1_id JOIN fview y ON y.entity_id = cand_id)"""
+_SPLIT = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+_SET = lambda a, b: _J(f"list_distinct({_SPLIT(a)})", f"list_distinct({_SPLIT(b)})")
+_OVERLAP_SQL = f"""SELECT s1_id, cand_id, confidence_score, confidence_score >= 0.6 AS is_match, CASE WHEN confidence_score >= 0.6 THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, anchored AS numeric_anchor_match FROM (
+  SELECT *, CASE WHEN apart THEN 0.0 ELSE round(CASE WHEN anchored THEN least(1.0, raw + 0.05) ELSE raw END, 4) END AS confidence_score FROM (
+    SELECT *, CASE WHEN xa <> '' AND ya <> '' THEN 0.5::DOUBLE * by_set + 0.2::DOUBLE * by_sort + 0.3::DOUBLE * by_addr ELSE 0.7::DOUBLE * by_set + 0.3::DOUBLE * by_sort END AS raw FROM (
+      SELECT s1_id, cand_id, xa, ya, list_has_any(xdg, ydg) AS anchored, trim(coalesce(xc, '')) <> '' AND trim(coalesce(yc, '')) <> '' AND lower(trim(xc)) <> lower(trim(yc)) AS apart, {_SET('xn', 'yn')} AS by_set, {_SET('xa', 'ya')} AS by_addr,
+        CASE WHEN list_sort({_SPLIT('xn')}) = list_sort({_SPLIT('yn')}) AND xn <> '' THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * len(list_intersect({_SPLIT('xn')}, {_SPLIT('yn')})) / nullif(len(list_distinct({_SPLIT('xn')})) + len(list_distinct({_SPLIT('yn')})), 0), 0) END AS by_sort FROM h)))"""
 _LINES = """, lists AS (SELECT ids.s1_id, coalesce(string_agg(cand_id, ',' ORDER BY cand_id), '') AS l, split_part(ids.s1_id, '-', 2)::BIGINT AS k FROM ids LEFT JOIN pairs ON pairs.s1_id = ids.s1_id GROUP BY ids.s1_id
 ), lines AS (
   SELECT CASE WHEN k % 11 = 0 THEN s1_id WHEN k % 13 = 0 THEN s1_id || chr(9) || l || ',S1-1' WHEN k % 17 = 0 THEN s1_id || chr(9) || l || ', S2-5' WHEN k % 19 = 0 THEN s1_id || chr(9) || l || ',S3-x,S3-x' WHEN k % 23 = 0 THEN 'X' || s1_id || chr(9) || l ELSE s1_id || chr(9) || l END AS line FROM lists
@@ -317,6 +377,12 @@ def oracle_sql() -> dict[str, str]:
         "token_jaccard": _sql(_JACCARD, "SELECT * FROM jac"),
         "digit_overlap": _sql(_VIEW, f"SELECT s1_id, cand_id, {_DIGITS} FROM h"),
         "validator_violations": _sql(_SCORES + _LINES.split("\nSELECT 'no_tab'", 1)[0], "SELECT 'no_tab'" + _LINES.split("\nSELECT 'no_tab'", 1)[1]),
+        "pattern_blocking_keys": _sql(_PATTERN_KEYS, "SELECT DISTINCT country, entity_id, key FROM found"),
+        "features_with_unknown_ids": _sql(_VIEW, _UNKNOWN_SQL),
+        "fast_mode_features": _sql(_FAST_H, _NATIVE_SQL),
+        "overlap_scores": _sql(_VIEW, _OVERLAP_SQL),
+        "fuzzy_features": "WITH " + synthetic.RECORDS_ORACLE + ", " + fuzzy_sql(_VIEW, _NATIVE_SQL, features.FEATURE_NAMES),
+        "heuristic_score": "WITH " + synthetic.RECORDS_ORACLE + ", " + heuristic_sql(_VIEW),
         "id_anti_join": _sql(_SCORES, "SELECT DISTINCT pairs.s1_id FROM pairs WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.s1_id = pairs.s1_id AND top.cand_id = pairs.cand_id)"),
     }
 
@@ -325,6 +391,6 @@ def queries() -> dict:
     made = (
         scan_er_records, normalize_frame, blocking_keys, blocking_keys_prefix, key_idf_weights, blocking_scores, candidates_topk, candidate_lists, fast_candidates, exact_name_baseline, truth_pairs, cross_country_check,
         country_counts, match_histogram, truth_summary, blocking_recall, blocking_diagnostics, pair_metrics, macro_f05, threshold_grid, matches_decided, matching_lists, error_samples, native_features, token_jaccard, digit_overlap,
-        validator_violations, id_anti_join, fuzzy_features, heuristic_score, gbt_match,
+        validator_violations, id_anti_join, pattern_blocking_keys, features_with_unknown_ids, fast_mode_features, overlap_scores, fuzzy_features, heuristic_score, gbt_match,
     )
     return {f.__name__: f for f in made}

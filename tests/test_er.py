@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinfold.config import Config
 from kinfold.operators import blocking, features, matching, metrics, reports, validator
-from kinfold.plans import queries, resolve
+from kinfold.plans import job, queries, resolve
 from kinfold.sources import synthetic, tsv
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
@@ -223,3 +223,65 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert spark.read.parquet(str(tmp_path / "out")).first().decision == "MATCH"
+
+
+# -- files, reports, whole runs ----------------------------------------------------
+def _dataset(tmp_path, n=40):
+    names = [f"Acme {w} {i}" for i, w in enumerate(["Traders", "Foods", "Paper", "Steel"] * (n // 4))]
+    rows = {k: ["entity_id\tbusiness_name\tbusiness_address\tcountry"] for k in ("1", "2", "3")}
+    truth = ["source1_entity_id\tmatched_entity_ids"]
+    for i, name in enumerate(names):
+        place = f"{100 + i} High Street Unit{i}x"
+        rows["1"].append(f"S1-{i}\t{name}\t{place}\tUS")
+        rows["2"].append(f"S2-{i}\t{name.upper()} Inc\t{place} near park\tUS")
+        rows["3"].append(f"S3-{i}\t{name.replace('Acme', 'Acm') if i % 2 else 'Other Name'}\t{place if i % 2 else 'elsewhere 9'}\tUS")
+        truth.append(f"S1-{i}\tS2-{i}" + (f",S3-{i}" if i % 2 else ""))
+    for kind in ("train", "test"):
+        (tmp_path / kind).mkdir()
+        for k, lines in rows.items():
+            (tmp_path / kind / f"{kind}_source{k}.tsv").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("\n".join(truth) + "\n", encoding="utf-8")
+
+
+def test_whole_run(spark, tmp_path):
+    _dataset(tmp_path)
+    out, config = tmp_path / "out", Config(model_rounds=3, ablation_grid=(0.3, 0.5))
+    report = job.run(spark, str(tmp_path), str(out), config, cache=str(tmp_path / "cache"), ablation=True)
+    assert report["errors"] == [] and report["warnings"] == [] and sum(report["importances"].values()) > 0
+    for name in ("eda_summary.json", "eda_report.html", "validation_report.json"):
+        assert (out / "reports" / name).stat().st_size > 100
+    lines = (out / "reports" / "experiment_results.csv").read_text().splitlines()
+    assert len(lines) == 6 and lines[0].startswith("experiment,features,threshold")
+    summary = json.loads((out / "reports" / "eda_summary.json").read_text())
+    assert summary["dataset_statistics"]["S1"] == {"rows": 40, "countries": {"US": 40}} and summary["ground_truth_distribution"]["pairs"] == 60
+    assert len(list((tmp_path / "cache").iterdir())) == 2  # candidates and features, found again by a second run
+    found = tsv.load_dataset(spark, str(tmp_path), train=True)
+    records = job._records(found)
+    again = resolve.train(records, job.metrics.truth_pairs(found["truth"]), config, str(tmp_path / "cache"))
+    assert len(list((tmp_path / "cache").iterdir())) == 2 and again.threshold == report["threshold"]
+    lists = spark.createDataFrame([("S1-1", "S2-1, S3-1,S2-3"), ("S1-2", ""), ("S1-3", "S2-3,S9-9")], tsv.CANDIDATES)
+    got = {r.source1_entity_id: r.matched_entity_ids for r in resolve.fast_match(lists, records, again.model, threshold=0.0).collect()}
+    assert got == {"S1-1": "S2-1,S3-1,S2-3", "S1-2": "", "S1-3": "S2-3"}  # the list's order, unknown ids skipped
+
+
+def test_file_rules(spark, tmp_path):
+    ids = spark.createDataFrame([("S1-1",), ("S1-2",)], "id string")
+    check = lambda data: (tmp_path / "r.tsv").write_bytes(data) and validator.validate(spark, str(tmp_path / "r.tsv"), ids)
+    assert validator.validate(spark, str(tmp_path / "none.tsv"), ids) == (["file not found"], None)
+    head = b"source1_entity_id\tmatched_entity_ids\n"
+    assert check(head + b"S1-1\t\xff\xfe\n")[0] == ["not UTF-8"]
+    assert check(b"source1_entity_id,matched_entity_ids\n")[0] == ["comma separated"]
+    fatal, table = check(head + b"S1-1\tS2-1\n" + head + b"S1-2\t\n")
+    assert fatal == [] and [tuple(r) for r in table.collect()] == [("repeated_header", None, "1")]
+    (tmp_path / "m.tsv").write_bytes(head + b"S1-1\tS2-1\nS1-2\t\n")
+    (tmp_path / "c.tsv").write_bytes(head.replace(b"matched", b"candidate") + b"S1-1\tS2-9\nS1-2\t\n")
+    errors, warnings = validator.validate_results(spark, str(tmp_path / "m.tsv"), str(tmp_path / "c.tsv"), ids)
+    assert errors == [] and len(warnings) == 2 and "not among their candidates" in warnings[1]
+    errors, warnings = validator.validate_results(spark, str(tmp_path / "m.tsv"), str(tmp_path / "absent.tsv"), ids)
+    assert errors == [] and "not found" in warnings[1]
+
+
+def test_key_multiplicities_of_repeated_tokens(spark):
+    rows = spark.createDataFrame([("S1-1", "foo bar foo foo", "12345 12345 bar", "US"), ("S2-1", None, None, None)], "entity_id string, business_name string, business_address string, country string")
+    got = {(r.entity_id, r.key): r.times for r in blocking.blocking_keys(rows).collect()}
+    assert got == {("S1-1", "nw:foo"): 3, ("S1-1", "nw:bar"): 1, ("S1-1", "aw:12345"): 2, ("S1-1", "d:12345"): 2}
