@@ -22,33 +22,47 @@ FLUSH_CHARS = 1_000_000
 class Memo(dict):
     """``memo[key]`` computes a missing value with ``make``.
 
-    ``trim`` bounds the size: the entries become an older generation, which
-    replaces the one before it; an older entry that is asked for moves back.
+    ``trim`` bounds the memory: after ``bound`` bytes, as estimated, the entries
+    become an older generation, which replaces the one before it; an older
+    entry that is asked for moves back.  Keys over ``LONG`` characters are
+    forgotten at every ``trim``.
     """
 
-    def __init__(self, make: Callable | None, bound: int):
+    LONG, ENTRY = 64, 200  #: characters; bytes that an entry takes beside its key's and value's own
+
+    def __init__(self, make: Callable | None, bound: int = 96_000_000):
         super().__init__()
-        self.make, self.bound, self.older = make, bound // 2, {}
+        self.make, self.bound, self.used, self.older, self.long = make, bound // 2, 0, {}, []
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        self[key] = value
+        if len(key) > self.LONG:
+            self.long.append(key)
+        else:
+            self.used += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+
     def missing(self, keys: set) -> list:
         """Those of ``keys`` without a value; the others can be read, whichever generation holds them."""
         new = keys.difference(self)
         if self.older:
-            back = new.intersection(self.older)
-            self.update(zip(back, map(self.older.__getitem__, back), strict=True))
-            new -= back
+            for key in new.intersection(self.older):
+                self.put(key, self.older[key])
+                new.discard(key)
         return list(new)
 
     def trim(self) -> None:
-        if len(self) > self.bound:
-            self.older = dict(self)
+        for key in self.long:
+            self.pop(key, None)
+        self.long.clear()
+        if self.used > self.bound:
+            self.older, self.used = dict(self), 0
             self.clear()
 
 

@@ -7,8 +7,8 @@ The number of tokens is the number of initial symbols less the merges made: no
 token identifier is ever produced.
 
 Cases: a null text counts as empty; an empty text has 0 bytes and 0 tokens;
-repeated rows each give a row; an empty table gives an empty table.  Texts of
-any length are counted whole.
+repeated rows each give a row; columns may have any name; an empty table gives
+an empty table.  Texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinfold.llm.textcache import Memo, batch_of
 
@@ -60,7 +61,7 @@ def merges_made(symbols: list[str], rank: dict[str, float]) -> int:
 class PieceCounter:
     """Counts as a byte-fallback piece model with identity normalisation does."""
 
-    def __init__(self, model_path: str, memo_bound: int = 1_400_000):
+    def __init__(self, model_path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -69,8 +70,8 @@ class PieceCounter:
         self.rank = {model.id_to_piece(i).replace(SPACE_MARK, " "): -model.get_score(i) for i in ids}
         self.joins = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.chunks = self._chunk_pattern()
-        self.fragment = Memo(self._count_fragment, memo_bound)
-        self.chunk = Memo(self._count_chunk, memo_bound // 4)
+        self.fragment = Memo(self._count_fragment, 144_000_000)
+        self.chunk = Memo(self._count_chunk, 48_000_000)
 
     def _chunk_pattern(self) -> re.Pattern | None:
         """Parts that no vocabulary entry reaches across, as far as a pattern can tell them.
@@ -119,7 +120,7 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     One pass without a shuffle; the id column keeps its type.
     """
-    picked = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     id_type = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

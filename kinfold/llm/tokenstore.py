@@ -1,25 +1,29 @@
 """Token identifiers in a Re-Pair compressed, randomly accessible store.
 
 Documents are put in ascending id order, cut into shards, encoded, and every
-shard is compressed on its own: frequent adjacent pairs of ids are replaced by
-nonterminals, again and again, first inside the distinct words of the shard
-(weighted by how often each occurs) and then across words.  A shard's file
-holds the rules, the length of every rule's expansion, and the final sequence;
-with running sums of expansion lengths any range of tokens can be decoded
-without the rest.  The end id never enters a rule, so documents stay aligned
-with the sequence.
+shard is compressed on its own by Re-Pair: adjacent pairs of ids are replaced by
+nonterminals, the frequent ones first, until no pair occurs ``MIN_COUNT``
+times; first inside the distinct parts (words, marks, digits) of the shard,
+weighted by how often each occurs, and then across parts.  A pair of two equal ids is replaced from the
+left of each run.  A shard's file holds the rules, the length of every rule's
+expansion, the final sequence, and running sums of expansion lengths at every
+``STRIDE``-th symbol, so that a range of tokens is decoded by expanding the
+symbols that cover it and no others.  The end id never enters a rule, so
+documents stay aligned with the sequence.
 
 A shard is one binary value in the layout of :func:`pack`; Spark's Parquet
 writer commits shards, so retried or lost tasks leave no partial files, and any
 file system that Spark writes to will do.
 
 Cases: null texts count as empty and hold the end id alone; rows are ordered by
-id, then text, so repeated ids keep a defined order (null ids first); an empty
-table makes an empty store.
+id, then text, so repeated ids keep a defined order (null ids first); columns
+may have any name; texts of any length are encoded whole; an empty table makes
+an empty store.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -33,153 +37,182 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.durable import durable
-from kinfold.llm.textcache import Memo, batch_of
+from kinfold.llm.textcache import batch_of
 
 END = 1
 MAGIC = b"KFRP1\x00\x00\x00"
-SHARD_WORDS = 1_000_000
+SHARD_PARTS = 1_200_000
 MIN_COUNT = 16
-WORD_ROUNDS, SEQUENCE_ROUNDS, RULES_A_ROUND = 6, 3, 2048
+STRIDE = 256
+#: What the way by parts relies on in the vocabulary file. Fixed values.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 # -- encoding -----------------------------------------------------------------
-class WordEncoder:
-    """The tokenizers library's ids, word by word where that is the same as the whole text.
-
-    Normalisation and pre-tokenisation of the vocabulary never look across
-    white space.  Texts made only of printable ASCII, line ends, tabs and
-    precomposed Latin-1 letters, without a special token's brackets, are split
-    at white space and their words' parts are given to the library's model;
-    any other text goes through the library whole.
+class PartEncoder(dict):
+    """The tokenizers library's ids, part by part where that is the same as the whole text.
+
+    Normalisation of the vocabulary changes letters one by one, and its
+    pre-tokenisation cuts texts into parts that its model codes on their own.
+    Texts made only of printable ASCII, line ends, tabs and precomposed Latin-1
+    letters, without a special token's brackets, are cut here and their parts
+    given to the library's model; any other text goes through the library
+    whole, and so do all texts if the vocabulary file normalises or splits in
+    another way.
+
+    As a dictionary it numbers the parts met so far; ``ids`` holds their ids one
+    after the other, ``ends`` where those of each end.  Number 0 is the end id.
     """
 
     SAFE = re.compile("[\t\n -~À-ÖØ-öø-ÿ]*")
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9 \t\n]+")
+    MOST = 600_000  #: parts after which a shard begins with an empty dictionary
 
-    def __init__(self, path: str, memo_bound: int = 1_000_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        by_part = (form.get("normalizer") or {}).get("normalizers") == NORMALIZER and ((form.get("pre_tokenizer") or {}).get("pretokenizers") or [None])[0] == SPLIT
+        self.by_part = by_part and all(t["content"].startswith("<|") and not t["single_word"] for t in form.get("added_tokens", ()))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level text
         rest = [b for b in range(256) if b not in plain]
         self.table = {b: 256 + i for i, b in enumerate(rest)}
-        self.part = Memo(self._part, memo_bound)
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.ids, self.ends = array("i", [END]), array("q", [1])
 
-    def _part(self, part: str) -> bytes:
+    def __missing__(self, part: str) -> int:
         mapped = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.table)
-        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        number = self[part] = len(self.ends)
+        self.ids.extend([t.id for t in self.tokenize(mapped)])
+        self.ends.append(len(self.ids))
+        return number
 
-    def word(self, word: str) -> bytes:
-        """Ids of a word as native 16-bit integers."""
-        low, part = word.lower(), self.part
-        if low.isalpha():
-            return part[low]
-        if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return part[low[:-1]] + part[low[-1]]
-        return b"".join([part[p] for p in self.PARTS.findall(low)])
+    def numbers(self, text: str) -> np.ndarray:
+        """Numbers of the parts of a text that is ``safe``."""
+        parts = self.PARTS.findall(text.lower())
+        return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
 
-    def whole(self, text: str) -> bytes:
-        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
     def safe(self, text: str) -> bool:
-        return "<|" not in text and self.SAFE.fullmatch(text) is not None
-
-    def encode(self, text: str) -> np.ndarray:
-        ids = b"".join(map(self.word, text.split())) if self.safe(text) else self.whole(text)
-        return np.frombuffer(ids, np.uint16).astype(np.int32)
+        return self.by_part and "<|" not in text and self.SAFE.fullmatch(text) is not None
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> PartEncoder:
+    return PartEncoder(path)
 
 
 # -- Re-Pair ------------------------------------------------------------------
-def _frequent(left: np.ndarray, right: np.ndarray, weight: np.ndarray | None, least: int, most: int) -> list[tuple[int, int]]:
-    """Pairs by falling weighted count such that no symbol is a left in one and a right in another."""
-    keys = left.astype(np.int64) << 20 | right
-    if weight is None:
-        keys = np.sort(keys)
-        first = np.nonzero(np.diff(keys, prepend=-1))[0]
-        counts, keys = np.diff(np.append(first, len(keys))), keys[first]
-    else:
-        order = np.argsort(keys)
-        keys, weight = keys[order], weight[order]
-        first = np.nonzero(np.diff(keys, prepend=-1))[0]
-        counts, keys = (np.add.reduceat(weight, first) if len(first) else np.zeros(0, np.int64)), keys[first]
-    good = counts >= least
-    keys, counts = keys[good], counts[good]
-    chosen, lefts, rights = [], set(), set()
-    for key in keys[np.lexsort((keys, -counts))].tolist():
-        a, b = key >> 20, key & 0xFFFFF
-        if a != b and a not in rights and b not in lefts:
-            chosen.append((a, b))
-            lefts.add(a)
-            rights.add(b)
-            if len(chosen) == most:
-                break
-    return chosen
-
-
-def _replace(symbols: np.ndarray, pairs: list[tuple[int, int]], first: int, joined: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """``symbols`` with the i-th pair written as ``first + i``, and a mask of what is left; joined[i]: positions i, i + 1 may merge."""
-    table = np.array(sorted((a << 20 | b, first + i) for i, (a, b) in enumerate(pairs)), np.int64)
-    size = int(max(symbols.max(initial=0), table[:, 0].max() >> 20, (table[:, 0] & 0xFFFFF).max())) + 1
-    is_left, is_right = np.zeros(size, bool), np.zeros(size, bool)
-    is_left[table[:, 0] >> 20] = True
-    is_right[table[:, 0] & 0xFFFFF] = True
-    may = is_left[symbols[:-1]] & is_right[symbols[1:]]
-    if joined is not None:
-        may &= joined
-    at = np.nonzero(may)[0]
-    keys = symbols[at].astype(np.int64) << 20 | symbols[at + 1]
-    found = np.minimum(np.searchsorted(table[:, 0], keys), len(table) - 1)
-    hit = table[found, 0] == keys
-    at, found = at[hit], found[hit]
-    out, stay = symbols.copy(), np.ones(len(symbols), bool)
-    out[at] = table[found, 1]
-    stay[at + 1] = False
-    return out, stay
-
-
-def repair(words: list[np.ndarray], order: np.ndarray, base: int, end: int = END, least: int = MIN_COUNT, limit: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+BUCKETS = 1 << 18  #: of a first, rough count of pairs
+
+
+class _Sequence:
+    """Symbols with links to their neighbours, in which pairs are replaced."""
+
+    def __init__(self, symbols: np.ndarray, joined: np.ndarray, weight: np.ndarray | None, least: int):
+        """joined[i]: symbols i and i + 1 may become one; weight: how often each symbol counts."""
+        n = len(symbols)
+        self.end, self.least, self.weight = n, least, weight
+        self.symbol = symbols.astype(np.int64)
+        self.after = np.append(np.where(joined, np.arange(1, n), n), n) if n else np.zeros(0, np.int64)
+        self.before = np.full(n + 1, n)
+        self.before[1:n][joined] = np.nonzero(joined)[0]
+        self.open = np.nonzero(joined)[0]  # where a pair starts that may be frequent
+
+    def _pairs(self, at: np.ndarray) -> np.ndarray:
+        return self.symbol[at] << 32 | self.symbol[self.after[at]]
+
+    def _counted(self, at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``at`` and ``keys`` without every second place of a run of equal symbols, pairs that can be replaced together; and the places left out."""
+        run = np.nonzero(keys >> 32 == keys & 0xFFFFFFFF)[0]
+        if not len(run):
+            return at, keys, at[:0]
+        own = at[run]
+        starts = np.append(True, self.after[own[:-1]] != own[1:])
+        number = np.arange(len(own))
+        odd = (number - np.maximum.accumulate(np.where(starts, number, 0))) & 1 == 1
+        stay = np.ones(len(at), bool)
+        stay[run[odd]] = False
+        return at[stay], keys[stay], at[~stay]
+
+    def step(self, first: int) -> list[tuple[int, int]]:
+        """Replaces frequent pairs that do not touch one another by symbols from ``first`` on; returns the pairs."""
+        at = self.open
+        keys = self._pairs(at)
+        bucket = (keys * 0x9E3779B97F4A7C1 >> 40) & (BUCKETS - 1)
+        rough = np.bincount(bucket, self.weight[at] if self.weight is not None else None, BUCKETS)[bucket] >= self.least
+        at, keys = at[rough], keys[rough]
+        places, keys_of, skipped = self._counted(at, keys)
+        order = np.argsort(keys_of)
+        places, ranked = places[order], keys_of[order]
+        starts = np.nonzero(np.append(True, ranked[1:] != ranked[:-1]))[0] if len(ranked) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(ranked)))
+        counts = sizes if self.weight is None else np.add.reduceat(self.weight[places], starts) if len(starts) else sizes
+        found = ranked[starts]
+        frequent = counts >= self.least
+        number, lefts, rights, pairs = np.full(len(found), -1), set(), set(), []
+        candidates = np.nonzero(frequent)[0]
+        candidates = candidates[np.lexsort((found[candidates], -counts[candidates]))]
+        for i, key in zip(candidates.tolist(), found[candidates].tolist(), strict=True):
+            a, b = key >> 32, key & 0xFFFFFFFF
+            if a not in rights and b not in lefts and (a != b or a not in lefts and a not in rights):
+                number[i] = first + len(pairs)
+                pairs.append((a, b))
+                lefts.add(a)
+                rights.add(b)
+        if not pairs:
+            self.open = places[:0]
+            return pairs
+        new = np.repeat(number, sizes)
+        left, new = places[new >= 0], new[new >= 0]
+        right = self.after[left]
+        beyond = self.after[right]
+        self.symbol[left], self.symbol[right] = new, -1
+        self.after[left], self.before[beyond] = beyond, left
+        # A pair that is not frequent can only get rarer; the others, and those beside new symbols, are looked at again.
+        again = places[np.repeat(frequent & (number < 0), sizes)]
+        beside = np.sort(np.concatenate([again, skipped, left, self.before[left]]))
+        beside = beside[np.append(True, beside[1:] != beside[:-1]) & (beside < self.end)]
+        self.open = beside[(self.symbol[beside] >= 0) & (self.after[beside] < self.end)]
+        return pairs
+
+    def replace_all(self, base: int, rules: list[tuple[int, int]]) -> np.ndarray:
+        """Appends to ``rules`` until no pair is frequent; returns which symbols are left."""
+        while len(self.open):
+            rules += self.step(base + len(rules))
+        return self.symbol >= 0
+
+
+def repair(words: list[np.ndarray], order: np.ndarray, base: int, end: int = END, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Rules (n, 2) and the final sequence for the concatenation of ``words[order[i]]``.
 
-    Symbols from ``base`` up are nonterminals; rule *i* defines ``base + i``;
-    ``limit`` bounds the symbols so that they fit the stored width.
+    Symbols from ``base`` up are nonterminals; rule *i* defines ``base + i``.
     """
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return _repair(np.concatenate([np.zeros(0, np.int32), *words]), sizes, order, base, end, least, limit)
+    return _repair(np.concatenate([np.zeros(0, np.int64), *words]), sizes, order, base, end, least)
 
 
-def _repair(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, base: int, end: int = END, least: int = MIN_COUNT, limit: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def _repair(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray, base: int, end: int = END, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     rules: list[tuple[int, int]] = []
-    n_words = len(sizes)
-    owner = np.repeat(np.arange(n_words), sizes)
-    times = np.bincount(order, minlength=n_words).astype(np.int64)
-    for _ in range(WORD_ROUNDS):
-        joined = owner[:-1] == owner[1:]
-        joined &= (flat[:-1] != end) & (flat[1:] != end)
-        at = np.nonzero(joined)[0]
-        pairs = _frequent(flat[at], flat[at + 1], times[owner[at]], least, min(RULES_A_ROUND, limit - base - len(rules)))
-        if not pairs:
-            break
-        flat, stay = _replace(flat, pairs, base + len(rules), joined)
-        flat, owner = flat[stay], owner[stay]
-        rules += pairs
-    sizes = np.bincount(owner, minlength=n_words)
-    sequence = _gather(flat, np.cumsum(sizes) - sizes, sizes, order)
-    for _ in range(SEQUENCE_ROUNDS):
-        free = (sequence[:-1] != end) & (sequence[1:] != end)
-        at = np.nonzero(free)[0]
-        pairs = _frequent(sequence[at], sequence[at + 1], None, least, min(RULES_A_ROUND, limit - base - len(rules)))
-        if not pairs:
-            break
-        sequence, stay = _replace(sequence, pairs, base + len(rules), free)
-        sequence = sequence[stay]
-        rules += pairs
-    return np.array(rules, np.int32).reshape(-1, 2), sequence
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    times = np.bincount(order, minlength=len(sizes))
+    inside = _Sequence(flat, (owner[:-1] == owner[1:]) & (flat[:-1] != end) & (flat[1:] != end), times[owner], least)
+    stay = inside.replace_all(base, rules)
+    sizes = np.bincount(owner[stay], minlength=len(sizes))
+    symbols = _gather(inside.symbol[stay], np.cumsum(sizes) - sizes, sizes, order)
+    across = _Sequence(symbols, (symbols[:-1] != end) & (symbols[1:] != end), None, least)
+    stay = across.replace_all(base, rules)
+    return np.array(rules, np.int64).reshape(-1, 2), across.symbol[stay]
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -199,9 +232,13 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 # -- the file -----------------------------------------------------------------
 def pack(rules: np.ndarray, sequence: np.ndarray, doc_tokens: np.ndarray, base: int) -> bytes:
-    """Header (magic, base, rules, symbols, documents, tokens), rules, expansion lengths, tokens of each document, sequence."""
-    head = MAGIC + struct.pack("<5Q", base, len(rules), len(sequence), len(doc_tokens), int(doc_tokens.sum()))
-    return head + rules.astype("<u4").tobytes() + expansion_lengths(rules, base).astype("<u4").tobytes() + doc_tokens.astype("<u4").tobytes() + sequence.astype("<u2").tobytes()
+    """Header (magic, base, rules, symbols, documents, tokens, bytes of a symbol), rules, expansion lengths, tokens of each document, tokens before every ``STRIDE``-th symbol, sequence."""
+    lengths = expansion_lengths(rules, base)
+    sizes = np.concatenate([np.ones(base, np.int64), lengths])[sequence]
+    width = 2 if base + len(rules) <= 1 << 16 else 4
+    head = MAGIC + struct.pack("<6Q", base, len(rules), len(sequence), len(doc_tokens), int(doc_tokens.sum()), width)
+    before = (np.cumsum(sizes) - sizes)[::STRIDE]
+    return head + b"".join(x.tobytes() for x in (rules.astype("<u4"), lengths.astype("<u4"), doc_tokens.astype("<u4"), before.astype("<u8"), sequence.astype(f"<u{width}")))
 
 
 class Shard:
@@ -210,8 +247,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
-        self.base, rules, symbols, docs, self.n_ids = struct.unpack_from("<5Q", data, 8)
-        at = 48
+        self.base, rules, symbols, docs, self.n_ids, width = struct.unpack_from("<6Q", data, 8)
+        at = 56
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -220,138 +257,144 @@ class Shard:
             return out
 
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
-        lengths = take("<u4", rules).astype(np.int64)
-        self.doc_tokens = take("<u4", docs).astype(np.int64)
-        self.sequence = take("<u2", symbols).astype(np.int64)
-        self.sizes = np.concatenate([np.ones(self.base, np.int64), lengths])
-        self.ends = np.cumsum(self.sizes[self.sequence])  # tokens up to and with each symbol
-        self._flat: tuple[np.ndarray, np.ndarray] | None = None
-
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        if self._flat is None:
-            starts = np.cumsum(self.sizes) - self.sizes
-            flat = np.zeros(int(self.sizes.sum()), np.uint32)
-            flat[: self.base] = np.arange(self.base)
-            sizes, at = self.sizes.tolist(), starts.tolist()
-            for i, (a, b) in enumerate(self.rules.tolist(), self.base):  # a rule refers to earlier symbols only
-                middle = at[i] + sizes[a]
-                flat[at[i] : middle] = flat[at[a] : at[a] + sizes[a]]
-                flat[middle : middle + sizes[b]] = flat[at[b] : at[b] + sizes[b]]
-            self._flat = flat, starts
-        return self._flat
+        self.lengths = take("<u4", rules)
+        self.doc_tokens = take("<u4", docs)
+        self.before = take("<u8", -(-symbols // STRIDE))
+        self.sequence = take(f"<u{width}", symbols)
+
+    def _sizes(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.base
+        out[rule] = self.lengths[symbols[rule].astype(np.int64) - self.base]
+        return out
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
         """Tokens ``start`` to ``end``; only the symbols that cover them are expanded."""
         end = self.n_ids if end is None else min(end, self.n_ids)
         if start >= end:
             return np.zeros(0, np.uint32)
-        first, last = np.searchsorted(self.ends, [start, end - 1], side="right")
-        flat, starts = self._expansions()
-        out = _gather(flat, starts, self.sizes, self.sequence[first : last + 1])
-        skipped = start - int(self.ends[first] - self.sizes[self.sequence[first]])
-        return out[skipped : skipped + end - start]
+        if 8 * (end - start) > self.n_ids:  # every rule is expanded once, then the symbols are looked up
+            rules, _ = self._expanded(self.rules.ravel().astype(np.int64))
+            sizes = np.concatenate([np.ones(self.base, np.int64), self.lengths])
+            flat = np.concatenate([np.arange(self.base, dtype=np.uint32), rules])
+            return _gather(flat, np.cumsum(sizes) - sizes, sizes, self.sequence)[start:end]
+        first, last = np.searchsorted(self.before, [start, end - 1], side="right") - 1
+        out, at = self._expanded(self.sequence[first * STRIDE : (last + 1) * STRIDE].astype(np.int64), start - int(self.before[first]), end - int(self.before[first]))
+        return out[start - int(self.before[first]) - at :][: end - start]
+
+    def _expanded(self, symbols: np.ndarray, start: int = 0, end: int | None = None) -> tuple[np.ndarray, int]:
+        """Tokens of ``symbols``, those that cover ``start`` to ``end`` if given, and how many were left out before them."""
+        at = 0
+        while True:
+            if end is not None:
+                sizes = self._sizes(symbols)
+                ends = at + np.cumsum(sizes)
+                a, b = np.searchsorted(ends, [start, end - 1], side="right")
+                at = int(ends[a] - sizes[a])
+                symbols = symbols[a : b + 1]
+            rule = symbols >= self.base
+            if not rule.any():
+                return symbols.astype(np.uint32), at
+            out = np.repeat(symbols, 1 + rule)
+            left = np.nonzero(rule)[0] + np.arange(int(rule.sum()))
+            pairs = self.rules[symbols[rule] - self.base]
+            out[left], out[left + 1] = pairs[:, 0], pairs[:, 1]
+            symbols = out
 
     def document(self, i: int) -> np.ndarray:
-        end = int(self.doc_tokens[: i + 1].sum())
+        end = int(self.doc_tokens[: i + 1].sum(dtype=np.int64))
         return self.ids(end - int(self.doc_tokens[i]), end)
 
 
 # -- tables -------------------------------------------------------------------
-class _Index(dict):
-    """Numbers of a shard's distinct words; a new word's ids join ``words``."""
-
-    def __init__(self, words: list[bytes], ids_of):
-        super().__init__()
-        self.words, self.ids_of = words, ids_of
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self.words)
-        self.words.append(self.ids_of(word))
-        return number
-
-
 class _Builder:
     """Collects documents up to a shard's size."""
 
-    def __init__(self, code: WordEncoder):
+    def __init__(self, code: PartEncoder):
         self.code, self.base = code, code.tokenizer.get_vocab_size()
         self.reset()
 
     def reset(self) -> None:
-        self.words: list[bytes] = [array("H", [END]).tobytes()]
-        self.index = _Index(self.words, self.code.word)
+        if len(self.code) > self.code.MOST:
+            self.code.forget()
+        self.whole: list[np.ndarray] = []  # texts that the library coded; numbered -1, -2, ...
         self.orders: list[np.ndarray] = []
         self.doc_ids: list = []
-        self.n_words = 0
+        self.n_parts = 0
 
     def add(self, doc_id, text: str | None) -> None:
         text = text or ""
         if self.code.safe(text):
-            parts = text.split()
-            order = np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+            order = self.code.numbers(text)
         else:
-            self.words.append(self.code.whole(text))
-            order = np.array([len(self.words) - 1])
+            self.whole.append(self.code.whole(text))
+            order = np.array([-len(self.whole)])
         self.orders.append(np.append(order, 0))
         self.doc_ids.append(doc_id)
-        self.n_words += len(order) + 1
+        self.n_parts += len(order) + 1
 
     def finish(self) -> tuple[list, int, bytes]:
-        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words)) // 2
-        tokens = np.array([sizes[o].sum() for o in self.orders], np.int64)
-        flat = np.frombuffer(b"".join(self.words), np.uint16).astype(np.int32)
-        packed = pack(*_repair(flat, sizes, np.concatenate(self.orders), self.base), tokens, self.base)
-        out = self.doc_ids, int(tokens.sum()), packed
+        order = np.concatenate(self.orders)
+        known = order >= 0
+        used = np.zeros(len(self.code.ends), bool)
+        used[order[known]] = True
+        place = np.cumsum(used) - 1  # numbers within the shard
+        order = np.where(known, place[np.where(known, order, 0)], place[-1] - order)
+        ends = np.array(self.code.ends)
+        starts, numbers = np.append(0, ends[:-1]), np.flatnonzero(used)
+        flat = _gather(np.array(self.code.ids), starts, ends - starts, numbers).astype(np.int64)
+        flat = np.concatenate([flat, *self.whole])
+        sizes = np.append((ends - starts)[numbers], [len(w) for w in self.whole]).astype(np.int64)
+        tokens = np.add.reduceat(sizes[order], np.cumsum([0, *map(len, self.orders[:-1])]))
+        out = self.doc_ids, int(tokens.sum()), pack(*_repair(flat, sizes, order, self.base), tokens, self.base)
         self.reset()
-        self.code.part.trim()
         return out
 
 
-def write_store(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def write_store(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard_parts: int = SHARD_PARTS) -> DataFrame:
     """Shards of all rows in ascending id order, written to the shared folder and read back.
 
     One range shuffle by id.  A row is a shard: ``part`` (ascending id ranges),
-    ``seq`` within it, ``doc_ids``, ``n_ids``, and the packed ``data``.
+    ``before`` (ids of the part's shards before it), ``doc_ids``, ``n_ids``, and
+    the packed ``data``.
     """
-    picked = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     id_type = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        builder, seq = _Builder(encoder(tokenizer_path)), 0
+        builder, before = _Builder(encoder(tokenizer_path)), 0
         part = TaskContext.get().partitionId()
         kind = None
 
         def shard():
+            nonlocal before
             doc_ids, n_ids, data = builder.finish()
-            schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(kind)), ("n_ids", pa.int64()), ("data", pa.binary())])
-            return batch_of(schema, [[part], [seq], [doc_ids], [n_ids], [data]])
+            schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(kind)), ("n_ids", pa.int64()), ("data", pa.binary())])
+            before += n_ids
+            return batch_of(schema, [[part], [before - n_ids], [doc_ids], [n_ids], [data]])
 
         for batch in batches:
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 builder.add(doc_id, text)
-                if builder.n_words >= shard_words:
+                if builder.n_parts >= shard_parts:
                     yield shard()
-                    seq += 1
         if builder.doc_ids:
             yield shard()
 
     ordered = picked.repartitionByRange(picked["doc_id"]).sortWithinPartitions("doc_id", "text")
-    return durable(ordered.mapInArrow(run, f"part int, seq int, doc_ids array<{id_type}>, n_ids long, data binary"), "token-shards")
+    return durable(ordered.mapInArrow(run, f"part int, before long, doc_ids array<{id_type}>, n_ids long, data binary"), "token-shards")
 
 
 def read_store(store: DataFrame) -> DataFrame:
-    """Per document: id, ``start`` (tokens of all documents before it), ``n_tokens``, ``ids_crc32`` and ``n_symbols`` of its shard.
+    """Per document: id, ``start`` (tokens of all documents before it), ``n_tokens`` and ``ids_crc32``.
 
-    Running sums need one row a shard: within a part by a window over that
-    part, and over the parts, of which there are as many as shuffle partitions.
+    Running sums over the parts need one row a part, of which there are as many
+    as shuffle partitions; these rows are broadcast, and shards are not shuffled.
     """
-    sizes = store.select("part", "seq", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    before_part = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("__before"))
-    within = sizes.select("part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("__within"))
-    offset = within.join(before_part, "part").select("part", "seq", (F.col("__within") + F.col("__before")).alias("offset"))
-    joined = store.join(offset, ["part", "seq"]).select("doc_ids", "offset", "data")
+    parts = store.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    first = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("first"))
+    joined = store.join(F.broadcast(first), "part").select("doc_ids", (F.col("before") + F.col("first")).alias("offset"), "data")
     id_type = store.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -360,10 +403,10 @@ def read_store(store: DataFrame) -> DataFrame:
             for row in range(batch.num_rows):
                 shard = Shard(batch.column(2)[row].as_py())
                 ids, raw = batch.column(0)[row].as_py(), shard.ids().astype("<u4").tobytes()
-                ends = np.cumsum(shard.doc_tokens)
+                ends = np.cumsum(shard.doc_tokens, dtype=np.int64)
                 starts = ends - shard.doc_tokens
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 schema = pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-                yield batch_of(schema, [pa.array(ids, kind), starts + batch.column(1)[row].as_py(), shard.doc_tokens, crc])
+                yield batch_of(schema, [pa.array(ids, kind), starts + batch.column(1)[row].as_py(), ends - starts, crc])
 
     return joined.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
