@@ -9,7 +9,7 @@ from kinfold.config import Config
 from kinfold.durable import durable
 from kinfold.functions.text import ADDRESS_WORDS, LEGAL_WORDS, frame_address, frame_name
 from kinfold.operators import blocking, features, matching, metrics, reports, validator
-from kinfold.plans.ratio_sql import fuzzy_sql, heuristic_sql
+from kinfold.plans.ratio_sql import four_places, fuzzy_sql, heuristic_sql
 from kinfold.sources import synthetic, tsv
 
 CAP, TOP_K, GRID = Config().max_key_freq, 50, (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
@@ -321,7 +321,7 @@ _FAST_H = f"""{_SCORES}, fast AS (SELECT s1_id, cand_id, 5.0::DOUBLE / (1 + posi
 _SPLIT = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
 _SET = lambda a, b: _J(f"list_distinct({_SPLIT(a)})", f"list_distinct({_SPLIT(b)})")
 _OVERLAP_SQL = f"""SELECT s1_id, cand_id, confidence_score, confidence_score >= 0.6 AS is_match, CASE WHEN confidence_score >= 0.6 THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, anchored AS numeric_anchor_match FROM (
-  SELECT *, CASE WHEN apart THEN 0.0 ELSE round(CASE WHEN anchored THEN least(1.0, raw + 0.05) ELSE raw END, 4) END AS confidence_score FROM (
+  SELECT *, CASE WHEN apart THEN 0.0 ELSE {four_places('CASE WHEN anchored THEN least(1.0::DOUBLE, raw + 0.05::DOUBLE) ELSE raw END')} END AS confidence_score FROM (
     SELECT *, CASE WHEN xa <> '' AND ya <> '' THEN 0.5::DOUBLE * by_set + 0.2::DOUBLE * by_sort + 0.3::DOUBLE * by_addr ELSE 0.7::DOUBLE * by_set + 0.3::DOUBLE * by_sort END AS raw FROM (
       SELECT s1_id, cand_id, xa, ya, list_has_any(xdg, ydg) AS anchored, trim(coalesce(xc, '')) <> '' AND trim(coalesce(yc, '')) <> '' AND lower(trim(xc)) <> lower(trim(yc)) AS apart, {_SET('xn', 'yn')} AS by_set, {_SET('xa', 'ya')} AS by_addr,
         CASE WHEN list_sort({_SPLIT('xn')}) = list_sort({_SPLIT('yn')}) AND xn <> '' THEN 1.0::DOUBLE ELSE coalesce(2.0::DOUBLE * len(list_intersect({_SPLIT('xn')}, {_SPLIT('yn')})) / nullif(len(list_distinct({_SPLIT('xn')})) + len(list_distinct({_SPLIT('yn')})), 0), 0) END AS by_sort FROM h)))"""

@@ -35,6 +35,11 @@ def _best_window(short: str, long: str) -> str:
     return f"SELECT p, q, short, long, spans, masks, (1::HUGEINT << {n}::INT) - 1 AS bits FROM (SELECT *, {spans} AS spans, {_masks(short, long)} AS masks FROM sided)"
 
 
+def four_places(c: str) -> str:
+    """Half up by the shortest decimal form of a double, as Spark rounds."""
+    return f"round(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38, 20)), 4)::DOUBLE"
+
+
 def ratio_ctes(source: str, texts: str, partials: str) -> str:
     """CTEs from ``source`` (with): ``texts`` selects pairs (a, b), ``partials`` those of them that need windows.
 
@@ -90,7 +95,7 @@ def heuristic_sql(view: str) -> str:
     """The hand-weighted scorer and its ranks, over ``h`` and ``top`` of ``view``."""
     ctes = ratio_ctes(view, "SELECT xn AS a, yn AS b FROM h UNION SELECT xa, ya FROM h", "SELECT '' AS p, '' AS q")
     return f"""{ctes}, judged AS (
-  SELECT s1_id, cand_id, rank AS place, CASE WHEN trim(coalesce(xc, '')) <> '' AND trim(coalesce(yc, '')) <> '' AND lower(trim(xc)) <> lower(trim(yc)) THEN 0.0::DOUBLE ELSE round(CASE WHEN list_has_any(xdg, ydg) THEN least(1.0::DOUBLE, raw + 0.05::DOUBLE) ELSE raw END, 4) END AS confidence_score FROM (
+  SELECT s1_id, cand_id, rank AS place, CASE WHEN trim(coalesce(xc, '')) <> '' AND trim(coalesce(yc, '')) <> '' AND lower(trim(xc)) <> lower(trim(yc)) THEN 0.0::DOUBLE ELSE {four_places('CASE WHEN list_has_any(xdg, ydg) THEN least(1.0::DOUBLE, raw + 0.05::DOUBLE) ELSE raw END')} END AS confidence_score FROM (
     SELECT h.*, top.rank, CASE WHEN xa <> '' AND ya <> '' THEN 0.5::DOUBLE * (n.token_set / 100) + 0.2::DOUBLE * (n.token_sort / 100) + 0.3::DOUBLE * (ad.token_set / 100) ELSE 0.7::DOUBLE * (n.token_set / 100) + 0.3::DOUBLE * (n.token_sort / 100) END AS raw
     FROM h JOIN top USING (s1_id, cand_id) JOIN r n ON n.a = xn AND n.b = yn JOIN r ad ON ad.a = xa AND ad.b = ya)
 ) SELECT s1_id, cand_id, confidence_score, confidence_score >= 0.6 AS is_match, CASE WHEN confidence_score >= 0.6 THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, row_number() OVER (PARTITION BY s1_id ORDER BY confidence_score DESC, place)::INT AS rank,
