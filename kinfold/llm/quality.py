@@ -2,15 +2,21 @@
 
 A document fails its base rules when it has too few words or repeats itself.
 Failures are counted by host, a host's rate is shrunk towards the corpus with
-an empirical beta prior (method of moments over hosts), and the documents of
-hosts whose shrunken rate is too high are rejected as well.  Everything is
-DataFrame functions; repeats inside a text are found by sorting hashes of its
-three-word windows, so that time is n log n in the words of a text.
+an empirical beta prior, and the documents of hosts whose shrunken rate is too
+high are rejected as well.  The prior's mean is that of the hosts' rates; its
+variance is theirs less the part that binomial chance gives hosts of their
+sizes.  A shrunken rate is too high if it is over ``MOST_HOST_RATE``, or else
+over both ``TIMES_MEAN`` times the prior's mean and ``DEVIATIONS`` standard
+deviations of the prior above it: hosts are held against the corpus they are
+in, and like hosts are never told apart by chance.  Everything is DataFrame
+functions; repeats inside a text are found by sorting hashes of its three-word
+windows, so that time is n log n in the words of a text.
 
 Cases: a null text has no words and fails; a null host is a host of its own;
-repeated rows are judged and counted one by one; an empty table gives an empty
-table; with one host, or equal rates everywhere, the prior is as strong as
-``MOST_PRIOR`` documents.  Window hashes have 64 bits.
+repeated rows are judged and counted one by one; texts of any length are read
+whole; columns may have any name; an empty table gives an empty table; with one
+host, or equal rates everywhere, the prior is as strong as ``MOST_PRIOR``
+documents.  Window hashes have 64 bits.
 """
 
 from __future__ import annotations
@@ -19,23 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.durable import durable
+from kinfold.llm.frames import place, positional
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50  #: percent of words in repeated three-word windows
-MOST_HOST_RATE = 0.5
+MOST_HOST_RATE, TIMES_MEAN, DEVIATIONS = 0.5, 2, 2
 LEAST_PRIOR, MOST_PRIOR = 1.0, 10_000.0
 
 
-def with_base(df: DataFrame, text: Column, prefix: str = "", keep: list[Column] | None = None) -> DataFrame:
-    """``keep`` (all columns by default) and the base columns, their names after ``prefix``."""
-    keep = [df[c] for c in df.columns] if keep is None else keep
-    n = len(keep)
+def with_base(df: DataFrame, text: Column, keep: list[Column], prefix: str = "") -> DataFrame:
+    """``keep`` and the base columns, their names after ``prefix``; the names of ``keep`` must not begin with ``__kf_``."""
     first = df.select(*keep, F.coalesce(text, F.lit("")).alias("__kf_text"))
-    kept = first.columns[:n]
-    hold = [F.col(f"`{c}`") for c in kept]
+    hold = [F.col(f"`{c}`") for c in first.columns[: len(keep)]]
     words = first.select(*hold, "__kf_text", F.filter(F.split("__kf_text", SPACE), lambda w: w != "").alias("__kf_words"))
     w = F.col("__kf_words")
     windows = F.when(F.size(w) > 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
@@ -62,13 +66,16 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, most: float = MOST_
     """Per host: documents, failures, shrunken failure rate and ``rejected``; hosts are pre-aggregated before the shuffle."""
     hosts = judged.groupBy(F.col(host).alias("__kf_host")).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col(failed).cast("long")).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("__kf_mean"), F.var_pop(rate).alias("__kf_var"))
-    spread = F.col("__kf_mean") * (1 - F.col("__kf_mean"))
-    strength = F.when(F.col("__kf_var") <= spread / (MOST_PRIOR + 1), F.lit(MOST_PRIOR)).otherwise(F.greatest(F.lit(LEAST_PRIOR), spread / F.col("__kf_var") - 1))
+    prior = hosts.agg(F.avg(rate).alias("__kf_mean"), F.var_pop(rate).alias("__kf_var"), F.avg(1 / F.col("host_docs")).alias("__kf_inverse"))
+    mean = F.col("__kf_mean")
+    spread = mean * (1 - mean)
+    between = F.col("__kf_var") - spread * F.col("__kf_inverse")
+    strength = F.when(between <= spread / (MOST_PRIOR + 1), F.lit(MOST_PRIOR)).otherwise(F.greatest(F.lit(LEAST_PRIOR), spread / between - 1))
     prior = prior.select("__kf_mean", strength.alias("__kf_strength"))
-    shrunk = (F.col("__kf_strength") * F.col("__kf_mean") + F.col("host_failures")) / (F.col("__kf_strength") + F.col("host_docs"))
+    shrunk = (F.col("__kf_strength") * mean + F.col("host_failures")) / (F.col("__kf_strength") + F.col("host_docs"))
+    high = F.least(F.lit(most), F.greatest(TIMES_MEAN * mean, mean + DEVIATIONS * F.sqrt(spread / (F.col("__kf_strength") + 1))))
     rated = hosts.join(F.broadcast(prior))  # one row, the outcome of a global aggregate
-    return rated.select("__kf_host", "host_docs", "host_failures", F.round(shrunk, 6).alias("host_rate"), (shrunk > most).alias("host_rejected"))
+    return rated.select("__kf_host", "host_docs", "host_failures", F.round(shrunk, 6).alias("host_rate"), (shrunk > high).alias("host_rejected"))
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: float = MOST_HOST_RATE) -> DataFrame:
@@ -77,7 +84,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
     The base columns are computed once and written (a few numbers a row); the
     text is not shuffled.
     """
-    base = durable(with_base(df, df[text_col], keep=[df[id_col].alias("doc_id"), df[host_col].alias("host")]), "quality-base")
+    base = durable(with_base(df, F.col(f"`{text_col}`"), [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").alias("host")]), "quality-base")
     verdicts = host_verdicts(base, "host", "base_failed", most)
     joined = base.join(verdicts, F.col("host").eqNullSafe(F.col("__kf_host")), "left")
     return joined.select(
@@ -88,12 +95,13 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
 def filter_kept(df: DataFrame, text_col: str = "text", host_col: str = "source", most: float = MOST_HOST_RATE) -> DataFrame:
     """The rows that :func:`judge` keeps, with all their columns and no others."""
-    prefix = "__kf_q_"
-    marked = with_base(df, df[text_col], prefix).select(*[F.col(f"`{c}`") for c in df.columns], F.col(prefix + "base_failed").alias("__kf_failed"))
+    plain, restore = positional(df)
+    own, host = plain.columns, place(df, host_col)
+    marked = with_base(plain, F.col(place(df, text_col)), [F.col(c) for c in own], "q_").select(*own, "q_base_failed")
     stored = durable(marked, "quality-docs")
-    bad = host_verdicts(stored, f"`{host_col}`", "__kf_failed", most).where("host_rejected").select("__kf_host")
-    good = stored.where(~F.col("__kf_failed"))
-    return good.join(bad, good[host_col].eqNullSafe(bad["__kf_host"]), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    bad = host_verdicts(stored, host, "q_base_failed", most).where("host_rejected").select("__kf_host")
+    good = stored.where(~F.col("q_base_failed"))
+    return restore(good.join(bad, F.col(host).eqNullSafe(F.col("__kf_host")), "left_anti"))
 
 
 SQL = r"""
@@ -114,10 +122,11 @@ WITH w AS (
   FROM w LEFT JOIN covered USING (doc_id)
 ), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
 ), hosts AS (SELECT source, count(*) AS host_docs, sum(base_failed::BIGINT)::BIGINT AS host_failures FROM judged GROUP BY source
-), prior AS (SELECT avg(host_failures / host_docs) AS m, var_pop(host_failures / host_docs) AS v FROM hosts
+), prior AS (SELECT m, v - m * (1 - m) * k AS v FROM (SELECT avg(host_failures / host_docs) AS m, var_pop(host_failures / host_docs) AS v, avg(1 / host_docs) AS k FROM hosts)
 ), strength AS (SELECT m, CASE WHEN v <= m * (1 - m) / 10001.0 THEN 10000.0 ELSE greatest(1.0, m * (1 - m) / v - 1) END AS s FROM prior
-), rated AS (SELECT source, host_docs, host_failures, (s * m + host_failures) / (s + host_docs) AS rate FROM hosts, strength)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > 0.5 AS kept,
+), rated AS (
+  SELECT source, host_docs, host_failures, (s * m + host_failures) / (s + host_docs) AS rate, least(0.5, greatest(2 * m, m + 2 * sqrt(m * (1 - m) / (s + 1)))) AS high FROM hosts, strength)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rate > high AS kept,
   host_docs, host_failures, round(rate, 6) AS host_rate
 FROM judged JOIN rated ON judged.source IS NOT DISTINCT FROM rated.source
 """
