@@ -13,23 +13,29 @@ driver receives languages x dimensions numbers, however many rows there are.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without
 any labelled row every text is ``und``; ties go to the first language in
-alphabetical order; null labels are never learned; repeated rows each give a
-row; an empty table gives an empty table.
+alphabetical order; null labels are never learned; over ``MAX_LANGUAGES`` labels
+are an error, as profiles go through the driver; texts of any length are read
+whole; columns may have any name; repeated rows each give a row; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.textcache import Memo, batch_of, groups
+from kinfold.llm.frames import place, positional
+from kinfold.llm.textcache import batch_of, groups, held
 
 DIMENSIONS = 1024
 SEED = 20240229
 UNKNOWN = "und"
+MAX_LANGUAGES = 1000  #: more labels than these end the job with an error
 _UNIT = 1 << 20  #: a unit text vector is summed in integers of this scale, whose order of addition does not matter
 _LETTER: np.ndarray | None = None
 
@@ -49,8 +55,8 @@ def letter_vector(code_point: int) -> np.ndarray:
 class Trigrams:
     """Trigram vectors, made on demand; the table is emptied at its bound."""
 
-    def __init__(self, bound: int = 60_000):
-        self.letter = Memo(letter_vector, 20_000)
+    def __init__(self, bound: int = 30_000):
+        self.letter = lru_cache(20_000)(letter_vector)
         self.index: dict[int, int] = {}
         self.rows = np.zeros((1024, DIMENSIONS), np.int8)
         self.bound = bound
@@ -58,20 +64,16 @@ class Trigrams:
     def vectors(self, keys: np.ndarray) -> np.ndarray:
         if len(self.index) + len(keys) > self.bound:
             self.index.clear()
-            self.letter.trim()
         for key in keys.tolist():
             if key not in self.index:
                 at = self.index[key] = len(self.index)
                 if at >= len(self.rows):
                     self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                 a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
-                self.rows[at] = np.roll(self.letter[a], 2) * np.roll(self.letter[b], 1) * self.letter[c]
+                self.rows[at] = np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
         return self.rows[[self.index[k] for k in keys.tolist()]]
 
 
-_TRIGRAMS: Trigrams | None = None
-
-
 def trigram_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct trigrams (three 21-bit code points) of the lower-cased letters, words set off by single spaces, and counts."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -85,9 +87,7 @@ def trigram_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def bundle(texts: list[str | None], block: int = 4096, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of texts, and which of them have a letter."""
-    global _TRIGRAMS
-    if _TRIGRAMS is None:
-        _TRIGRAMS = Trigrams()
+    trigrams = held("langid", "trigrams", Trigrams)
     out, has = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), bool)
     for first in range(0, len(texts), rows):
         found = [trigram_keys(t) for t in texts[first : first + rows]]
@@ -100,7 +100,7 @@ def bundle(texts: list[str | None], block: int = 4096, rows: int = 256) -> tuple
             use = (column >= start) & (column < start + block)
             matrix = np.zeros((len(found), min(block, len(seen) - start)), np.float32)
             matrix[row[use], column[use] - start] = counts[use]
-            part += matrix @ _TRIGRAMS.vectors(seen[start : start + block]).astype(np.float32)
+            part += matrix @ trigrams.vectors(seen[start : start + block]).astype(np.float32)
         has[first : first + rows] = [len(k) > 0 for k, _ in found]
     norm = np.sqrt((out.astype(np.float64) ** 2).sum(1))
     out /= np.maximum(norm, 1e-9)[:, None].astype(np.float32)
@@ -136,10 +136,11 @@ def fold_of(id_col: Column | str, folds: int = 4) -> Column:
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train_docs: int = 20_000, key: Column | None = None) -> Profiles:
     """Prototypes from labelled rows: a share chosen by the hash of ``key`` so that about ``max_train_docs`` rows are used."""
-    rows = train.where(train[lang_col].isNotNull())
+    label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    rows = train.where(label.isNotNull())
     n = rows.count()
     if n > max_train_docs:
-        chosen = F.pmod(F.xxhash64(key if key is not None else rows[text_col], F.lit(SEED)), F.lit(1 << 30))
+        chosen = F.pmod(F.xxhash64(key if key is not None else text, F.lit(SEED)), F.lit(1 << 30))
         rows = rows.where(chosen < F.lit(max_train_docs * (1 << 30) // n))
 
     def run(batches):
@@ -155,16 +156,19 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_tr
         for lang, vector in sums.items():
             yield batch_of(pa.schema([("lang", pa.string()), ("dim", pa.int32()), ("value", pa.int64())]), [[lang] * DIMENSIONS, list(range(DIMENSIONS)), vector.tolist()])
 
-    parts = rows.select(rows[text_col].alias("text"), rows[lang_col].alias("lang")).mapInArrow(run, "lang string, dim int, value long")
+    parts = rows.select(text.alias("text"), label.alias("lang")).mapInArrow(run, "lang string, dim int, value long")
+    found = parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).limit(MAX_LANGUAGES * DIMENSIONS + 1).collect()
+    if len(found) > MAX_LANGUAGES * DIMENSIONS:
+        raise ValueError(f"over {MAX_LANGUAGES} languages among the labels")
     sums: dict[str, np.ndarray] = {}
-    for lang, dim, value in parts.groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect():
+    for lang, dim, value in found:
         sums.setdefault(lang, np.zeros(DIMENSIONS))[dim] = value
     return Profiles(sums)
 
 
 def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``lang_pred`` and ``score``; the text is the only input of a prediction."""
-    picked = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -179,8 +183,8 @@ def predict(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col:
 
 def annotate(df: DataFrame, profiles: Profiles, text_col: str = "text", lang_name: str = "__kf_lang", score_name: str = "__kf_score") -> DataFrame:
     """``df`` with two more columns, whatever its own columns are called."""
-    schema = df.schema
-    at = schema.fieldNames().index(text_col)
+    plain, _ = positional(df)
+    at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -188,6 +192,28 @@ def annotate(df: DataFrame, profiles: Profiles, text_col: str = "text", lang_nam
             for start, end in groups(texts):
                 names, scores = profiles.predict(texts[start:end])
                 part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang_name, score_name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang", "score"])
+
+    marked = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return marked.toDF(*df.columns, lang_name, score_name)
+
+
+def least_score(train: DataFrame, profiles: Profiles, share: float = 0.001, text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000) -> float:
+    """Half the score below which ``share`` of the labelled texts with letters lie; from about ``max_docs`` of them, chosen by hash.
+
+    Half, so that labelled texts themselves stay: a text has to be much less like its language than the oddest of them.
+    """
+    label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    rows = train.where(label.isNotNull()).select(F.lit(0).alias("id"), text.alias("text"))
+    n = rows.count()
+    if n > max_docs:
+        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < F.lit(max_docs * (1 << 30) // n))
+    scored = predict(rows, profiles, "id").where(F.col("lang_pred") != UNKNOWN)
+    return (scored.agg(F.percentile("score", F.lit(share)).alias("least")).first()["least"] or 0.0) / 2
+
 
-    return df.mapInArrow(run, T.StructType([*schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))
+def filter_known(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a learned language with a score of at least ``least``."""
+    plain, restore = positional(df)
+    marked = annotate(plain, profiles, place(df, text_col), "lang", "score")
+    return restore(marked.where((F.col("lang") != UNKNOWN) & (F.col("score") >= least)))

@@ -19,6 +19,26 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0              
 FLUSH_CHARS = 1_000_000
 
 
+_held: dict = {}
+_owner = ""
+
+
+def only(owner: str) -> None:
+    """From now on this Python worker keeps tables of ``owner`` alone: workers outlive stages, and operators."""
+    global _owner
+    if owner != _owner:
+        _held.clear()
+        _owner = owner
+
+
+def held(owner: str, key, make: Callable):
+    """What ``make`` has made for ``key`` in this worker, kept until another operator's turn."""
+    only(owner)
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 class Memo(dict):
     """``memo[key]`` computes a missing value with ``make``.
 
@@ -30,7 +50,7 @@ class Memo(dict):
 
     LONG, ENTRY = 64, 200  #: characters; bytes that an entry takes beside its key's and value's own
 
-    def __init__(self, make: Callable | None, bound: int = 96_000_000):
+    def __init__(self, make: Callable | None, bound: int = 48_000_000):
         super().__init__()
         self.make, self.bound, self.used, self.older, self.long = make, bound // 2, 0, {}, []
 

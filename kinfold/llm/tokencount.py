@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.textcache import Memo, batch_of
+from kinfold.llm.textcache import Memo, batch_of, held
 
 #: What stands for a space in the pieces of the vocabulary file; a fixed value of the format.
 SPACE_MARK = "▁"
@@ -70,8 +69,8 @@ class PieceCounter:
         self.rank = {model.id_to_piece(i).replace(SPACE_MARK, " "): -model.get_score(i) for i in ids}
         self.joins = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         self.chunks = self._chunk_pattern()
-        self.fragment = Memo(self._count_fragment, 144_000_000)
-        self.chunk = Memo(self._count_chunk, 48_000_000)
+        self.fragment = Memo(self._count_fragment, 96_000_000)
+        self.chunk = Memo(self._count_chunk, 32_000_000)
 
     def _chunk_pattern(self) -> re.Pattern | None:
         """Parts that no vocabulary entry reaches across, as far as a pattern can tell them.
@@ -110,9 +109,8 @@ class PieceCounter:
         return total
 
 
-@lru_cache(maxsize=2)
 def counter(model_path: str) -> PieceCounter:
-    return PieceCounter(model_path)
+    return held("tokencount", model_path, lambda: PieceCounter(model_path))
 
 
 def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
