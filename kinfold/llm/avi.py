@@ -10,11 +10,15 @@ operations.  A frame is 16 x 12 samples, that is 128 x 96 pixels.
 
 Reading parses the RIFF tree, finds frames through the ``idx1`` index, decodes
 the intra frames, and cuts shots where the histogram difference of neighbouring
-frames exceeds an adaptive threshold.
-
-Cases: a null or empty text is one frame of spaces; equal texts give equal
-files and features; a film of one frame is one clip; repeated rows each give a
-row; an empty table gives an empty table.
+frames exceeds an adaptive threshold.  Frames with the tables above are decoded
+together; those of other cameras one by one, from their own tables, and their
+blocks' mean levels are what shots are found in.
+
+Cases: a null or empty text is one frame of spaces; texts of any length are
+stored whole; equal texts give equal files and features; a film of one frame is
+one clip; a film without frames has none; a null film has no clips; columns may
+have any name; repeated rows each give a row; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from kinfold.llm import jpeg
 from kinfold.llm.textcache import batch_of
 
 COLUMNS, ROWS = 16, 12
@@ -100,6 +106,18 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return (coefficient + 128).astype(np.uint8)  # dequantised by 8, and the transform of a flat block divides by 8
 
 
+def levels(frames: list[bytes]) -> np.ndarray:
+    """Samples (frames, samples) of JPEG files of one size: of this profile as stored, of others the mean level of every 8x8 block."""
+    if all(f.startswith(FRAME_HEAD) for f in frames):
+        return decode_frames(frames)
+    out = []
+    for f in frames:
+        plane = jpeg.decode(f)
+        padded = np.pad(plane, [(0, -plane.shape[0] % 8), (0, -plane.shape[1] % 8)], mode="edge")
+        out.append(padded.reshape(padded.shape[0] // 8, 8, -1, 8).mean((1, 3)).astype(np.uint8).ravel())
+    return np.array(out)
+
+
 # -- RIFF ---------------------------------------------------------------------
 def _chunk(tag: bytes, body: bytes) -> bytes:
     return tag + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) & 1)
@@ -149,15 +167,18 @@ def read_avi(data: bytes) -> tuple[list[bytes], int]:
 
 
 # -- shots --------------------------------------------------------------------
-def clips(samples: np.ndarray, window: int = 8, factor: int = 2, floor: int = 48) -> list[tuple[int, int]]:
+def clips(samples: np.ndarray, window: int = 8, factor: int = 2) -> list[tuple[int, int]]:
     """Shots as (first frame, frames): a cut where the histogram difference is large for its surroundings.
 
     Histograms have 16 levels.  Frame *i* starts a shot if the absolute
-    difference to the frame before is at least ``floor`` samples and more than
+    difference to the frame before is at least a quarter of the samples and more than
     ``factor`` times the mean difference of the ``window`` frames before and
     after it.  All sums are integers, so that the outcome is exact.
     """
     n = len(samples)
+    if not n:
+        return []
+    floor = samples.shape[1] // 4
     flat = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * 16
     histogram = np.bincount(flat.ravel(), minlength=n * 16).reshape(n, 16)
     change = np.abs(np.diff(histogram, axis=0)).sum(1) // 2  # change[i]: from frame i to i + 1
@@ -179,7 +200,7 @@ def feature(samples: np.ndarray, shots: list[tuple[int, int]], fps: int) -> str:
 # -- tables -------------------------------------------------------------------
 def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and ``media``, the AVI file that holds its text."""
-    picked = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -192,7 +213,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Per shot of every file: id, clip number, first frame, frames, start and end in seconds."""
-    picked = df.select(df[id_col].alias("doc_id"), df[media_col].alias("media"))
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{media_col}`").alias("media"))
 
     def run(batches):
         for batch in batches:
@@ -201,7 +222,7 @@ def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
                 if media is None:
                     continue
                 frames, fps = read_avi(media)
-                shots = clips(decode_frames(frames))
+                shots = clips(levels(frames))
                 ids = pa.array([batch.column(0)[row].as_py()] * len(shots), batch.schema.field(0).type)
                 schema = pa.schema([("doc_id", ids.type), ("clip", pa.int64()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())])
                 yield batch_of(schema, [ids, list(range(len(shots))), [a for a, _ in shots], [n for _, n in shots], [a / fps for a, _ in shots], [(a + n) / fps for a, n in shots]])
@@ -211,7 +232,7 @@ def clip_rows(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write each text as an AVI file, read the file's bytes back, and return sizes, digests and features."""
-    picked = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     names = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_clips", pa.int64())]
 
     def run(batches):
