@@ -5,14 +5,16 @@ until the next one for its domain, and a ``remove`` entry ends the one before.
 Every capture is matched with the entries for its host and the host's parent
 domains; those whose interval holds the fetch date are active, and the most
 specific one gives the verdict.  DataFrame functions only; the join is an
-equi-join on the domain, so a hot host is split by adaptive execution, and a
-list as small as Spark's threshold is broadcast by its measured size.
+equi-join on the domain.  A list of up to ``MOST_BROADCAST`` intervals, which
+are counted first, is broadcast, so that captures are shuffled once, a row
+each; with a longer one the join is shuffled and adaptive execution splits hot
+hosts.
 
 Cases: a null or hostless URL, or a null fetch date, matches nothing and is
 allowed; several entries for a domain on one date count in the order remove,
 allow, block (the last one holds); host names are compared in lower case,
-without port, user or a trailing dot; repeated captures each give a row;
-an empty table or list gives no row or no match.
+without port, user or a trailing dot; URLs of any length are read whole; columns
+may have any name; repeated captures each give a row; an empty table or list gives no row or no match.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 #: Order of entries of one domain and date; the last one holds.
 ACTIONS = ("remove", "allow", "block")
+MOST_BROADCAST = 500_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -41,11 +44,13 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetch_day") -> DataFrame:
     """Per capture: id, host, fetch day, the domain, action and start of the entry that decides, ``n_active`` and ``verdict``."""
-    c = captures.select(F.monotonically_increasing_id().alias("__row"), captures[id_col].alias("id"), F.coalesce(host_of(captures[url_col]), F.lit("")).alias("host"), captures[day_col].alias("day"))
+    c = captures.select(F.monotonically_increasing_id().alias("__row"), F.col(f"`{id_col}`").alias("id"), F.coalesce(host_of(F.col(f"`{url_col}`")), F.lit("")).alias("host"), F.col(f"`{day_col}`").alias("day"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keyed = c.select("id", "host", "day", "__row", F.explode(suffixes).alias("domain"))
     spans = validity(entries)
+    if spans.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        spans = F.broadcast(spans)
     active = keyed.join(spans, (keyed["domain"] == spans["domain"]) & (keyed["day"] >= spans["valid_from"]) & (spans["valid_to"].isNull() | (keyed["day"] < spans["valid_to"])), "left")
     hit = F.when(spans["domain"].isNotNull(), F.struct(F.length(spans["domain"]).alias("n"), spans["domain"].alias("domain"), spans["action"].alias("action"), spans["valid_from"].alias("since")))
     best = active.groupBy("__row", "id", "host", "day").agg(F.max(hit).alias("best"), F.count(spans["domain"]).alias("n_active"))
