@@ -68,7 +68,7 @@ def validate(spark: SparkSession, path: str, required: DataFrame, column: str =
     head = lines.limit(1).collect()
     if not head:
         return ["empty file"], None
-    if not lines.where(F.col("line").contains("\ufffd")).isEmpty():
+    if not lines.where(~F.is_valid_utf8("line")).isEmpty():
         return ["not UTF-8"], None
     header = head[0]["line"]
     if "\t" not in header:
