@@ -3,30 +3,32 @@
 Distinct pre-tokens of a batch are put, by length, into padded integer
 matrices.  In each round every row merges its leftmost minimum-rank pair; the
 row closes up, only the two pairs beside the merge are looked up again in a
-hash table of pairs, and rows without a mergeable pair leave the matrix.
+hash table of pairs, and rows without a mergeable pair leave the matrix.  In
+matrices wider than ``WIDE`` a round goes on from the left with the row's other
+pairs of the same rank, as the next rounds would, unless the merged id takes
+part in a pair of lower rank, which would have to go first.
 
 Cases: a null text counts as empty; an empty text has no ids and decodes to
 empty bytes; repeated rows each give a row; an empty table gives an empty
-table; pre-tokens longer than ``LONG_ROW`` bytes go through the linked list of
-:mod:`kinfold.llm.tokencount`'s kind, as a round costs time in a row's width.
+table; pre-tokens of any length are rows of a matrix.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinfold.llm.textcache import WHITE_SPACE, Memo, batch_of, groups
+from kinfold.llm.textcache import WHITE_SPACE, Memo, batch_of, groups, held
 
 NONE = np.int32(2**31 - 1)
-LONG_ROW = 4096
+WIDE = 64
 CELLS = 1_000_000
 
 
@@ -66,8 +68,16 @@ class PairTable:
         return out.reshape(left.shape)
 
 
+def early(left: np.ndarray, right: np.ndarray, merged: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` ids take part in a pair that merges to a lower one."""
+    out = np.zeros(n, bool)
+    out[left[merged < left]] = True
+    out[right[merged < right]] = True
+    return out
+
+
 class ByteBpe:
-    def __init__(self, rank_path: str, pattern: str, memo_bound: int = 600_000):
+    def __init__(self, rank_path: str, pattern: str):
         import regex
 
         with open(rank_path, "rb") as f:
@@ -77,12 +87,14 @@ class ByteBpe:
             self.token[i] = token
         rank = self.rank
         splits = [(rank[t[:i]], rank[t[i:]], r) for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank]
-        self.pairs = PairTable(*np.array(splits, np.int32).reshape(-1, 3).T)
+        left, right, merged = np.array(splits, np.int32).reshape(-1, 3).T
+        self.pairs = PairTable(left, right, merged)
+        self.first = early(left, right, merged, len(self.token))
         self.byte_id = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
         # A pre-token never has a non-space before a space, so texts are cut there first.
         self.chunks = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-        self.piece, self.chunk = Memo(None, memo_bound), Memo(None, memo_bound)
+        self.piece, self.chunk = Memo(None), Memo(None)
 
     # -- merging ---------------------------------------------------------
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -92,72 +104,90 @@ class ByteBpe:
         for i, p in enumerate(pieces):
             if len(p) < 2:
                 out[i] = self.byte_id[np.frombuffer(p, np.uint8)]
-            elif len(p) > LONG_ROW:
-                out[i] = self._long(p)
             else:
                 buckets.setdefault(4 if len(p) <= 4 else (len(p) + 3) // 4 * 4 if len(p) <= 32 else 1 << (len(p) - 1).bit_length(), []).append(i)
         for width, members in buckets.items():
             for at in range(0, len(members), max(1, CELLS // width)):
                 part = members[at : at + max(1, CELLS // width)]
-                for i, ids in zip(part, self._merge_rows([pieces[i] for i in part], width), strict=True):
+                merge = self._merge_rows if width <= WIDE else self._merge_wide_rows
+                for i, ids in zip(part, merge([pieces[i] for i in part], width), strict=True):
                     out[i] = ids
         return out
 
-    def _merge_rows(self, rows: list[bytes], width: int) -> list[np.ndarray]:
-        n = len(rows)
-        sizes = np.fromiter(map(len, rows), np.int64, n)
-        cells = np.full((n, width + 1), -1, np.int32)  # the last column stays padding
+    def _matrix(self, rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, ranks of the pairs that start at each id, and sizes; the last column stays padding."""
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        cells = np.full((len(rows), width + 1), -1, np.int32)
         cells[:, :width][np.arange(width) < sizes[:, None]] = self.byte_id[np.frombuffer(b"".join(rows), np.uint8)]
-        ranks = np.full((n, width + 1), NONE, np.int32)
+        ranks = np.full((len(rows), width + 1), NONE, np.int32)
         ranks[:, :width] = self.pairs.find(cells[:, :-1], cells[:, 1:])
-        done: list = [None] * n
-        alive = np.arange(n)
-        columns = np.arange(width + 1)
+        return cells, ranks, sizes
+
+    def _merge_rows(self, rows: list[bytes], width: int) -> list[np.ndarray]:
+        cells, ranks, sizes = self._matrix(rows, width)
+        done: list = [None] * len(rows)
+        alive = np.arange(len(rows))
         while len(alive):
             at = ranks.argmin(1)
             best = ranks[np.arange(len(alive)), at]
             stop = best == NONE
             if stop.any():
-                for r in np.nonzero(stop)[0]:
+                for r in np.nonzero(stop)[0].tolist():
                     done[alive[r]] = cells[r, : sizes[r]].copy()
                 keep = ~stop
                 alive, cells, ranks, sizes, at, best = alive[keep], cells[keep], ranks[keep], sizes[keep], at[keep], best[keep]
                 if not len(alive):
                     break
+            sizes -= 1
+            used = int(sizes.max()) + 1
+            behind = np.arange(used) > at[:, None]  # the row closes up behind the merge
+            cells = np.where(behind, cells[:, 1 : used + 1], cells[:, :used])
+            ranks = np.where(behind, ranks[:, 1 : used + 1], ranks[:, :used])
+            cells[:, -1], ranks[:, -1] = -1, NONE
             row = np.arange(len(alive))
             cells[row, at] = best
-            source = np.minimum(columns + (columns > at[:, None]), columns[-1])  # close the gap after each merge
-            cells, ranks = np.take_along_axis(cells, source, 1), np.take_along_axis(ranks, source, 1)
-            sizes = sizes - 1
-            used = int(sizes.max()) + 1
-            if used < cells.shape[1] - 1:
-                cells, ranks, columns = cells[:, : used + 1], ranks[:, : used + 1], columns[: used + 1]
-            ranks[row, at] = self.pairs.find(cells[row, at], cells[row, at + 1])
             has = np.nonzero(at > 0)[0]
-            ranks[has, at[has] - 1] = self.pairs.find(cells[has, at[has] - 1], cells[has, at[has]])
+            touched, place = np.concatenate([row, has]), np.concatenate([at, at[has] - 1])
+            ranks[touched, place] = self.pairs.find(cells[touched, place], cells[touched, place + 1])
         return done
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one very long pre-token, with a heap over a linked list."""
-        token, rank = [piece[i : i + 1] for i in range(len(piece))], self.rank
-        n = len(token)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, token[i] + token[i + 1]) for i in range(n - 1) if (r := rank.get(token[i] + token[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = right[i]
-            if not token[i] or j < 0 or token[i] + token[j] != joined:
-                continue
-            token[i], token[j] = joined, b""
-            right[i] = after = right[j]
-            if after >= 0:
-                left[after] = i
-                if (r := rank.get(both := joined + token[after])) is not None:
-                    heapq.heappush(heap, (r, i, both))
-            if (before := left[i]) >= 0 and (r := rank.get(both := token[before] + joined)) is not None:
-                heapq.heappush(heap, (r, before, both))
-        return np.array([rank[t] for t in token if t], np.int32)
+    def _merge_wide_rows(self, rows: list[bytes], width: int) -> list[np.ndarray]:
+        cells, ranks, sizes = self._matrix(rows, width)
+        done: list = [None] * len(rows)
+        alive = np.arange(len(rows))
+        while len(alive):
+            best = ranks.min(1)
+            stop = best == NONE
+            if stop.any():
+                for r in np.nonzero(stop)[0].tolist():
+                    done[alive[r]] = cells[r, : sizes[r]].copy()
+                keep = ~stop
+                alive, cells, ranks, sizes, best = alive[keep], cells[keep], ranks[keep], sizes[keep], best[keep]
+                if not len(alive):
+                    break
+            row, at = np.nonzero(ranks == best[:, None])
+            number = np.arange(len(row))
+            new = np.append(True, row[1:] != row[:-1])
+            start = np.maximum.accumulate(np.where(new | np.append(True, at[1:] != at[:-1] + 1), number, 0))
+            merge = (number - start) & 1 == 0  # a run of equal ids merges in twos from its left
+            merge &= new | ~self.first[best[row]]
+            row, at = row[merge], at[merge]
+            stay = np.arange(cells.shape[1]) < sizes[:, None]
+            stay[row, at + 1] = False
+            cells[row, at] = best[row]
+            merged = np.zeros(cells.shape, bool)
+            merged[row, at] = True
+            sizes = stay.sum(1)
+            inside = np.arange(int(sizes.max()) + 1) < sizes[:, None]
+            shape = inside.shape
+            new_cells, new_ranks, new_merged = np.full(shape, -1, np.int32), np.full(shape, NONE, np.int32), np.zeros(shape, bool)
+            new_cells[inside], new_ranks[inside], new_merged[inside] = cells[stay], ranks[stay], merged[stay]
+            cells, ranks = new_cells, new_ranks
+            again = new_merged[:, :-1].copy()
+            again[:, :-1] |= new_merged[:, 1:-1]
+            touched, place = np.nonzero(again)
+            ranks[touched, place] = self.pairs.find(cells[touched, place], cells[touched, place + 1])
+        return done
 
     # -- texts -----------------------------------------------------------
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -167,10 +197,10 @@ class ByteBpe:
         found = list(map(self._split, new))
         miss = list(self.piece.missing(set().union(*found)))
         for x, ids in zip(miss, self.encode_pieces([x.encode("utf-8") for x in miss]), strict=True):
-            self.piece[x] = ids.astype("<u4").tobytes()
+            self.piece.put(x, ids.astype("<u4").tobytes())
         piece = self.piece.__getitem__
         for c, f in zip(new, found, strict=True):
-            self.chunk[c] = b"".join(map(piece, f))
+            self.chunk.put(c, b"".join(map(piece, f)))
         out = [b"".join(map(self.chunk.__getitem__, p)) for p in parts]
         self.chunk.trim()
         self.piece.trim()
@@ -189,14 +219,13 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(rank_path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(rank_path, pattern)
+    return held("bytebpe", (rank_path, pattern), lambda: ByteBpe(rank_path, pattern))
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``; no shuffle."""
-    return _map(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), _encode_batches(rank_path, pattern), "ids binary, n_tokens long")
+    return _map(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), _encode_batches(rank_path, pattern), "ids binary, n_tokens long")
 
 
 def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -207,21 +236,28 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
         for b in batches:
             yield batch_of(pa.schema([("doc_id", b.schema.field(0).type), ("text_bytes", pa.binary())]), [b.column(0), [code.decode(x or b"") for x in b.column(1).to_pylist()]])
 
-    return _map(df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")), run, "text_bytes binary")
+    return _map(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")), run, "text_bytes binary")
 
 
-def digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode what was encoded, and return counts and digests of both forms in one pass."""
+def digests(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Encode, decode what was encoded, and return counts and digests of both forms in one pass; ``keep`` are named columns to carry along."""
+    picked = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *keep)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
     def run(batches):
         code = codec(rank_path, pattern)
-        for b, texts in _pieces(batches):
-            ids = code.encode_batch(texts)
-            sha = [hashlib.sha256(x).hexdigest() for x in ids]
-            back = [hashlib.sha256(code.decode(x)).hexdigest() for x in ids]
-            yield batch_of(pa.schema([("doc_id", b.type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]), [b, [len(x) // 4 for x in ids], sha, back])
-
-    return _map(df.select(df[id_col].alias("doc_id"), df[text_col].alias("text")), run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+        for batch in batches:
+            whole = [t or "" for t in batch.column(1).to_pylist()]
+            for start, end in groups(whole):
+                ids = code.encode_batch(whole[start:end])
+                part = batch.slice(start, end - start)
+                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                sha = pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string())
+                back = pa.array([hashlib.sha256(code.decode(x)).hexdigest() for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), counts, sha, back, *part.columns[2:]], names=[part.schema.names[0], "n_tokens", "ids_sha256", "decoded_sha256", *part.schema.names[2:]])
+
+    fields = picked.schema.fields
+    return picked.mapInArrow(run, T.StructType([fields[0], *added, *fields[2:]]))
 
 
 def _pieces(batches):

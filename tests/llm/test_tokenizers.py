@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -86,7 +87,7 @@ def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocab.path("word_bpe_49k.json"))
-    store = tokenstore.write_store(docs, vocab.path("word_bpe_49k.json"), shard_words=200)
+    store = tokenstore.write_store(docs, vocab.path("word_bpe_49k.json"), shard_chars=800)
     got = tokenstore.read_store(store).collect()
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     start, want = 0, []
@@ -100,6 +101,32 @@ def test_token_store(spark, docs):
     assert tokenstore.read_store(tokenstore.write_store(docs.limit(0), vocab.path("word_bpe_49k.json"))).count() == 0
 
 
+def test_token_store_forgets_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokenstore.PartEncoder, "MOST", 20)
+    code = tokenstore.PartEncoder(vocab.path("word_bpe_49k.json"))
+    texts = ["plain words, and 12 more", "it's THE élan\tof it", "中 é", "", "words <|endoftext|>"] * 30
+    builder, got = tokenstore._Builder(code), []
+    for i, text in enumerate(texts):
+        builder.add(i, text)
+        if i % 7 == 6:
+            shard = tokenstore.Shard(builder.finish()[2])
+            got += [shard.document(k).tolist() for k in range(7)]
+    assert got == [[*code.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts[: len(got)]]
+
+
+def test_parts_are_those_of_the_pattern():
+    """Cut points and numbers against the pattern applied text by text, and against the library."""
+    pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9 \t\n]+")
+    rng, code = random.Random(11), tokenstore.PartEncoder(vocab.path("word_bpe_49k.json"))
+    fixed = ["", "it's 'RE'll 'sample ''s --'s x'S't'd've'l", "'", "a'", "'s", "12ab34", "é's À'T", "\t\n ", "x" * 40 + " " + "x" * 41 + " " + "x" * 16 + " " + "x" * 17]
+    for texts in (fixed, [], [""], ["".join(rng.choices("ab rstmdvel'''19.-\t\néÉß", k=rng.randint(0, 40))) for _ in range(2000)]):
+        numbers, counts = code.numbers(texts)
+        want = [pattern.findall(t.lower()) for t in texts]
+        assert counts.tolist() == [len(w) for w in want]
+        names = {n: part for part, n in code.items()}
+        assert [names[n] for n in numbers.tolist()] == [x for w in want for x in w]
+
+
 def test_random_access():
     rng = np.random.default_rng(3)
     words = [np.array([tokenstore.END]), *(rng.integers(2, 30, rng.integers(1, 6)) for _ in range(40))]
@@ -117,3 +144,116 @@ def test_random_access():
 
 def test_extra_columns_stay_out(spark, docs):
     assert set(tokencount.count_tokens(docs.withColumn("n_bytes", F.lit(1)), vocab.path("piece_bpe_32k.model")).columns) == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
+
+
+def test_repair_leaves_no_frequent_pair():
+    """Left to right, without overlap, no pair is found MIN_COUNT times in the final sequence; runs of one id shrink too."""
+    rng = np.random.default_rng(8)
+    cases = [([[1], [7]], [1] * 100_000 + [0]), ([[1], [7, 8, 9]], [1] * 100_000 + [0]), ([[1], [7] * 100_001], [1, 0])]
+    words = [[1], *(rng.integers(2, 20, rng.integers(1, 6)).tolist() for _ in range(60))]
+    cases += [(words, np.concatenate([np.append(rng.integers(1, 61, 40), 0) for _ in range(80)]).tolist()), (words, [*rng.integers(0, 61, 3000).tolist(), 0])]
+    for words, order in cases:
+        arrays, order = [np.array(w) for w in words], np.array(order)
+        plain = np.concatenate([arrays[i] for i in order])
+        rules, sequence = tokenstore.repair(arrays, order, base=64)
+        tokens = np.diff(np.concatenate([[0], np.nonzero(plain == tokenstore.END)[0] + 1]))
+        assert (tokenstore.Shard(tokenstore.pack(rules, sequence, tokens, 64)).ids()[: len(plain)] == plain).all()
+        counts, last = {}, {}
+        for i, pair in enumerate(zip(sequence.tolist(), sequence[1:].tolist())):
+            if tokenstore.END not in pair and last.get(pair) != i - 1:
+                counts[pair] = counts.get(pair, 0) + 1
+                last[pair] = i
+        assert max(counts.values(), default=0) < tokenstore.MIN_COUNT
+    for words, order in cases[:3]:
+        assert len(tokenstore.repair([np.array(w) for w in words], np.array(order), base=64)[1]) < 40
+
+
+def test_ranges_expand_only_what_they_cover(monkeypatch):
+    words = [np.array([1]), np.arange(2, 60)]
+    order = np.array(([1] * 40 + [0]) * 200)
+    rules, sequence = tokenstore.repair(words, order, base=64)
+    tokens = np.full(200, 40 * 58 + 1)
+    shard = tokenstore.Shard(tokenstore.pack(rules, sequence, tokens, 64))
+    seen = []
+    sizes = tokenstore.Shard._sizes
+    monkeypatch.setattr(tokenstore.Shard, "_sizes", lambda self, symbols: seen.append(len(symbols)) or sizes(self, symbols))
+    assert shard.ids(200_000, 200_010).tolist() == shard.ids()[200_000:200_010].tolist()
+    assert max(seen[:20]) <= 2 * tokenstore.STRIDE
+
+
+def test_the_way_by_parts_needs_the_vocabulary_it_was_made_for(tmp_path):
+    import json
+
+    path = vocab.path("word_bpe_49k.json")
+    code = tokenstore.PartEncoder(path)
+    assert code.by_part
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+    form["normalizer"] = {"type": "NFC"}
+    with open(tmp_path / "other.json", "w", encoding="utf-8") as f:
+        json.dump(form, f)
+    other = tokenstore.PartEncoder(str(tmp_path / "other.json"))
+    assert not other.by_part and not other.safe("plain words")
+
+
+def test_long_pre_tokens_are_rows_of_a_matrix():
+    import tiktoken
+
+    path = vocab.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=vocab.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng, code = random.Random(6), bytebpe.ByteBpe(path, vocab.PATTERN)
+    texts = ["a" * 30_001, "ab" * 9000 + "a", "".join(rng.choices("abcdefghij", k=20_000)), "".join(rng.choices("=-_", k=6000)), "é" * 5000, "aaab" * 3000] + ["".join(rng.choices(rng.choice(["ab", "aeiou", "thean"]), k=rng.randint(60, 400))) for _ in range(200)]
+    for text, ids in zip(texts, code.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_merges_of_lower_rank_go_first():
+    """A made-up vocabulary in which a merged id takes part in pairs of lower rank, against repeated search."""
+    rng = random.Random(7)
+    for _ in range(60):
+        tokens = ["a", "b", "c"]
+        for _ in range(25):
+            new = rng.choice(tokens) + rng.choice(tokens)
+            if new not in tokens and len(new) < 7:
+                tokens.append(new)
+        tail = tokens[3:]
+        rng.shuffle(tail)
+        rank = {t.encode(): i for i, t in enumerate(["a", "b", "c", *tail])}
+        code = object.__new__(bytebpe.ByteBpe)
+        code.rank = rank
+        splits = np.array([(rank[t[:i]], rank[t[i:]], r) for t, r in rank.items() for i in range(1, len(t)) if t[:i] in rank and t[i:] in rank], np.int32).reshape(-1, 3)
+        code.pairs, code.byte_id = bytebpe.PairTable(*splits.T), np.array([rank.get(bytes([b]), 0) for b in range(256)], np.int32)
+        code.first = bytebpe.early(*splits.T, len(rank))
+        rows = ["".join(rng.choices("abc", k=rng.randint(2, 90))).encode() for _ in range(20)]
+        want = []
+        for row in rows:
+            parts = [row[i : i + 1] for i in range(len(row))]
+            while True:
+                best = min(((rank[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in rank), default=None)
+                if best is None:
+                    break
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            want.append([rank[p] for p in parts])
+        for merge in (code._merge_rows, code._merge_wide_rows):
+            assert [x.tolist() for x in merge(rows, 96)] == want
+
+
+def test_memo_is_bounded():
+    from kinfold.llm.textcache import Memo
+
+    memo = Memo(len, 100_000)
+    for i in range(5000):
+        assert memo[f"key{i}"] == len(f"key{i}") and memo["x" * 500 + str(i)] == 500 + len(str(i))
+        memo.trim()
+        assert len(memo) + len(memo.older) < 2 * 100_000 / Memo.ENTRY and not any(len(k) > Memo.LONG for k in memo)
+
+
+def test_any_column_names(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(1, "some words", 2)], "`a.id` long, `b.text` string, `c.d` int")
+    names = {"id_col": "a.id", "text_col": "b.text"}
+    assert tokencount.count_tokens(docs, vocab.path("piece_bpe_32k.model"), **names).count() == 1
+    assert bytebpe.digests(docs, vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN, **names).count() == 1
+    assert tokenstore.read_store(tokenstore.write_store(docs, vocab.path("word_bpe_49k.json"), **names)).first().doc_id == 1
