@@ -13,25 +13,34 @@ Ranks within a source are sums over hash buckets plus a rank within the
 bucket, so that a source with a third of all rows is spread over
 ``16 ** BUCKET_DIGITS`` groups.  DataFrame functions only.
 
+The schedule of one period is made in one row, so that there may be
+``MAX_SOURCES`` sources; with more the job ends with an error.
+
 Cases: a null source is a source of its own; a source without a weight, or with
 one below 1, gets weight 1; repeated rows each keep a place, ordered by id and
-then text; an empty table gives an empty table.
+then by the digest of the text; columns may have any name; texts of any length
+are carried along; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.llm.frames import place, positional
+
 BLOCK = 100
 TOTAL = 1000
 BUCKET_DIGITS = 3
 ALPHA = 0.5
+MAX_SOURCES = 10_000
+#: What :func:`mix` adds: block of the source (from 0), its release and deadline, the slot that it got, place in the block.
+ADDED = ("block", "release", "deadline", "slot", "pos")
 
 
 def tempered_weights(df: DataFrame, source_col: str = "source", alpha: float = ALPHA, total: int = TOTAL) -> DataFrame:
     """Integer weights (source, weight) in proportion to ``count ** alpha``, about ``total`` together, at least 1 each."""
-    counts = df.groupBy(df[source_col].alias("source")).agg(F.count(F.lit(1)).alias("__kf_n"))
+    counts = df.groupBy(F.col(f"`{source_col}`").alias("source")).agg(F.count(F.lit(1)).alias("__kf_n"))
     power = F.pow(F.col("__kf_n").cast("double"), F.lit(alpha)) if alpha != 0.5 else F.sqrt(F.col("__kf_n").cast("double"))
     sizes = counts.select("source", power.alias("__kf_p"))
     whole = sizes.agg(F.sum("__kf_p").alias("__kf_sum"))
@@ -42,6 +51,8 @@ def schedule(weights: DataFrame) -> DataFrame:
     """One period: (source, weight, period, k, slot), earliest deadline first among released blocks, ties to the first source by name."""
     gathered = weights.select(F.struct(F.col("source"), F.greatest(F.lit(1), F.coalesce(F.col("weight"), F.lit(1))).cast("long").alias("weight")).alias("s"))
     row = gathered.agg(F.array_sort(F.collect_list("s")).alias("sources")).where(F.size("sources") > 0)
+    bounded = F.when(F.size("sources") > MAX_SOURCES, F.raise_error(F.lit(f"over {MAX_SOURCES} sources"))).otherwise(F.col("sources"))
+    row = row.select(bounded.alias("sources"))
     row = row.select("sources", F.transform("sources", lambda s: s["weight"]).alias("ws"), F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["weight"]).alias("period"))
     period, ws = F.col("period"), F.col("ws")
 
@@ -61,32 +72,46 @@ def schedule(weights: DataFrame) -> DataFrame:
     return slots.select(F.col("s.source").alias("source"), F.col("s.weight").alias("weight"), "period", k.alias("k"), "slot")
 
 
-def mix(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, block: int = BLOCK) -> DataFrame:
-    """``df`` with ``__kf_block`` (from 0), ``__kf_release``, ``__kf_deadline``, ``__kf_slot`` and ``__kf_pos`` (place in the block)."""
-    own = [F.col(f"`{c}`") for c in df.columns]
-    key = F.md5(F.coalesce(df[id_col].cast("string"), F.lit("")).cast("binary"))
-    keyed = df.select(*own, key.alias("__kf_key"), F.substring(key, 1, BUCKET_DIGITS).alias("__kf_bucket"), df[source_col].alias("__kf_source"))
-    counts = df.select(df[source_col].alias("__kf_s"), F.substring(key, 1, BUCKET_DIGITS).alias("__kf_b")).groupBy("__kf_s", "__kf_b").agg(F.count(F.lit(1)).alias("__kf_n"))
-    before = counts.select("__kf_s", "__kf_b", (F.sum("__kf_n").over(Window.partitionBy("__kf_s").orderBy("__kf_b")) - F.col("__kf_n")).alias("__kf_before"))
-    plan = schedule(weights)
-    per_source = plan.groupBy(F.col("source").alias("__kf_s2")).agg(F.first("weight").alias("__kf_w"), F.first("period").alias("__kf_p"))
-    before = before.join(per_source, F.col("__kf_s").eqNullSafe(F.col("__kf_s2")), "left").drop("__kf_s2")
-    order = ["__kf_key", F.col(f"`{id_col}`"), *([F.col(f"`{text_col}`")] if text_col else [])]
-    within = F.row_number().over(Window.partitionBy("__kf_source", "__kf_bucket").orderBy(*order)) - 1
-    ranked = keyed.withColumn("__kf_in", within).join(before, F.col("__kf_source").eqNullSafe(F.col("__kf_s")) & (F.col("__kf_bucket") == F.col("__kf_b")))
-    rank = F.col("__kf_before") + F.col("__kf_in")
-    w, p = F.col("__kf_w"), F.col("__kf_p")
-    blocks = ranked.select(*own, "__kf_source", "__kf_w", "__kf_p", F.floor(rank / block).alias("__kf_block"), (rank % block).alias("__kf_pos"))
-    blocks = blocks.withColumn("__kf_k", F.col("__kf_block") % w + 1)
-    slots = plan.select(F.col("source").alias("__kf_s3"), F.col("k").alias("__kf_k3"), F.col("slot").alias("__kf_at"))
-    placed = blocks.join(slots, F.col("__kf_source").eqNullSafe(F.col("__kf_s3")) & (F.col("__kf_k") == F.col("__kf_k3")))
-    b = F.col("__kf_block")
-    return placed.select(*own, "__kf_block", F.floor(b * p / w).alias("__kf_release"), F.ceil((b + 1) * p / w).alias("__kf_deadline"), (F.floor(b / w) * p + F.col("__kf_at")).alias("__kf_slot"), "__kf_pos")
+def _named(source: Column) -> Column:
+    """A source as a string that is never null, so that windows and joins share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
+
+
+def mix(df: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, mark_col: str | None = None, block: int = BLOCK) -> DataFrame:
+    """``df`` with the columns of ``ADDED``, their names after ``__kf_``.
+
+    Rows of one id are ordered by the digest of their text, computed from ``text_col`` or read from ``mark_col``.
+    """
+    plain, _ = positional(df)
+    mark = F.md5(F.col(place(df, text_col)).cast("binary")) if text_col else F.col(place(df, mark_col)) if mark_col else None
+    out = _mixed(plain, weights, place(df, id_col), place(df, source_col), mark, block)
+    return out.toDF(*df.columns, *["__kf_" + c for c in ADDED])
+
+
+def _mixed(plain: DataFrame, weights: DataFrame, ident: str, source: str, mark: Column | None, block: int) -> DataFrame:
+    """``plain`` (c0, c1, ...) with the columns of ``ADDED``; its rows are shuffled once, by source and hash bucket."""
+    named = _named(F.col(source))
+    key = F.md5(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary"))
+    keyed = plain.select("*", named.alias("of"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"), key.alias("key"), *([mark.alias("mark")] if mark is not None else []))
+    counts = plain.select(named.alias("of"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")).groupBy("of", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    plan = schedule(weights).withColumn("of", _named(F.col("source")))
+    per_source = plan.groupBy("of").agg(F.first("weight").alias("w"), F.first("period").alias("p"))
+    before = counts.select("of", "bucket", (F.sum("n").over(Window.partitionBy("of").orderBy("bucket")) - F.col("n")).alias("before")).join(per_source, "of", "left")
+    order = ["key", ident, *(["mark"] if mark is not None else [])]
+    within = F.row_number().over(Window.partitionBy("of", "bucket").orderBy(*order)) - 1
+    rank = F.col("before") + F.col("within")
+    ranked = keyed.withColumn("within", within).drop("key", "mark").join(before, ["of", "bucket"])
+    b, w, p = F.col("block"), F.col("w"), F.col("p")
+    blocks = ranked.select(*plain.columns, "of", "w", "p", F.floor(rank / block).alias("block"), (rank % block).alias("pos")).withColumn("k", b % w + 1)
+    placed = blocks.join(plan.select("of", "k", F.col("slot").alias("at")), ["of", "k"])
+    return placed.select(*plain.columns, "block", F.floor(b * p / w).alias("release"), F.ceil((b + 1) * p / w).alias("deadline"), (F.floor(b / w) * p + F.col("at")).alias("slot"), "pos")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
-    """The rows of :func:`mix` in mixed order, its helper columns taken off."""
-    return mixed.orderBy("__kf_slot", "__kf_pos").drop("__kf_block", "__kf_release", "__kf_deadline", "__kf_slot", "__kf_pos")
+    """The rows of :func:`mix` in mixed order, what it added taken off."""
+    plain, _ = positional(mixed)
+    own = plain.columns[: -len(ADDED)]
+    return plain.orderBy(*plain.columns[-2:]).select(*own).toDF(*mixed.columns[: len(own)])
 
 
 SQL = f"""

@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -50,6 +51,13 @@ def test_state_machine(spark, roles, valid):
     assert chat.format_conversations(df).first().valid is valid
 
 
+def test_a_long_conversation(spark):
+    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"turn <{i}> " + "x" * (i % 50), None) for i in range(6000)], TURNS)
+    r = chat.digests(chat.format_conversations(df)).first()
+    spoken = "".join(f"turn <{i}> " + "x" * (i % 50) for i in range(1, 6000, 2))
+    assert r.n_turns == 6000 and r.loss_chars == len(spoken) and r.loss_sha256 == hashlib.sha256(spoken.encode()).hexdigest()
+
+
 # -- lists ------------------------------------------------------------------------
 def day(text):
     return datetime.date.fromisoformat(text)
@@ -87,6 +95,25 @@ def test_deviation_below_one_block(spark):
     assert given == weight
 
 
+def test_many_sources(spark, monkeypatch):
+    rng = random.Random(5)
+    weights = [(f"s{i}", rng.randint(1, 9)) for i in range(150)]
+    rows = mixing.schedule(spark.createDataFrame(weights, "source string, weight long")).collect()
+    period = sum(w for _, w in weights)
+    assert sorted(r.slot for r in rows) == list(range(period)) and Counter(r.source for r in rows) == dict(weights)
+    for r in rows:
+        assert (r.k - 1) * period // r.weight <= r.slot < -(-r.k * period // r.weight)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 100)
+    with pytest.raises(Exception, match="over 100 sources"):
+        mixing.schedule(spark.createDataFrame(weights, "source string, weight long")).collect()
+
+
+def test_mix_with_any_column_names(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "x") for i in range(50)], "doc_id long, source string, `a.b` string").withColumn("__kf_slot", F.lit(-1)).withColumn("of", F.lit("clash"))
+    mixed = mixing.mix(docs, mixing.tempered_weights(docs, total=10), block=4)
+    assert mixing.in_order(mixed).columns == docs.columns and len({tuple(r)[-2:] for r in mixed.collect()}) == 50
+
+
 def test_mix_keeps_every_row(spark):
     rows = [(i, f"t{i}", "big" if i % 3 else None, "x") for i in range(500)] + [(7, "t7", "big", "x"), (None, None, "new", "y"), (None, "u", "new", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string").repartition(3)
