@@ -51,17 +51,30 @@ LIST_ENTRIES = (
 )
 #: ``pages`` has no fetch time; a capture's day follows from its id within two years.
 FIRST_DAY, DAYS = "2024-01-01", 731
+#: Beside the fixed entries, the list has this many for every host of the table, with actions and days from a hash.
+ENTRIES_A_HOST = 40
+
+
+def _listed(pages: DataFrame) -> DataFrame:
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("domain")).where("domain <> ''").distinct()
+    each = hosts.select("domain", F.explode(F.sequence(F.lit(1), F.lit(ENTRIES_A_HOST))).alias("i"))
+    code = F.conv(F.substring(F.md5(F.concat_ws("#", "domain", "i").cast("binary")), 1, 6), 16, 10).cast("int")
+    action = F.element_at(F.array(*[F.lit(a) for a in urlfilter.ACTIONS]), code % 3 + 1)
+    return each.select("domain", action.alias("action"), F.date_add(F.lit(FIRST_DAY).cast("date"), F.floor(code / 3).cast("int") % DAYS).alias("day"))
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("fetch_day", F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod("page_id", F.lit(DAYS)).cast("int")))
     entries = spark.createDataFrame([(d, a, datetime.date.fromisoformat(x)) for d, a, x in LIST_ENTRIES], "domain string, action string, day date")
-    return urlfilter.evaluate(captures, entries).withColumnRenamed("id", "page_id")
+    return urlfilter.evaluate(captures, entries.unionByName(_listed(pages))).withColumnRenamed("id", "page_id")
 
 
 OP2_SQL = rf"""
-WITH entries(domain, action, day) AS (VALUES {", ".join(f"('{d}', '{a}', DATE '{x}')" for d, a, x in LIST_ENTRIES)}
+WITH fixed(domain, action, day) AS (VALUES {", ".join(f"('{d}', '{a}', DATE '{x}')" for d, a, x in LIST_ENTRIES)}
+), hosts AS (SELECT DISTINCT lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')) AS domain FROM pages
+), coded AS (SELECT domain, ('0x' || substr(md5(domain || '#' || i), 1, 6))::INTEGER AS code FROM hosts, (SELECT unnest(generate_series(1, {ENTRIES_A_HOST})) AS i) WHERE domain <> ''
+), entries AS (SELECT * FROM fixed UNION ALL SELECT domain, ['remove', 'allow', 'block'][code % 3 + 1], (DATE '{FIRST_DAY}' + ((code // 3) % {DAYS})::INTEGER)::DATE FROM coded
 ), latest AS (SELECT domain, day, max_by(action, list_position(['remove', 'allow', 'block'], action)) AS action FROM entries GROUP BY domain, day
 ), spans AS (SELECT domain, action, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day) AS valid_to FROM latest
 ), captures AS (
@@ -83,7 +96,7 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = omh.classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("rows").alias("n_rows"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("rows").alias("n_rows"), F.col("links").alias("n_links"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +125,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(table(spark, sf_dir, "documents"))
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of every document's film."""
+    return avi.clip_rows(avi.to_media(table(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     mixed = mixing.mix(docs, mixing.tempered_weights(docs))
@@ -119,7 +137,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op4_near_duplicates, op5_token_counts, op6_byte_bpe, op7_chat_format, op8_quality_rules, op9_media, op10_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filters, op3_token_output, op4_near_duplicates, op5_token_counts, op6_byte_bpe, op7_chat_format, op8_quality_rules, op9_media, op10_mixing, media_clips)}
 
 
 def oracle_sql() -> dict[str, str]:
