@@ -28,7 +28,6 @@ import re
 import struct
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.durable import durable
-from kinfold.llm.textcache import batch_of
+from kinfold.llm.textcache import batch_of, held
 
 END = 1
 MAGIC = b"KFRP1\x00\x00\x00"
-SHARD_PARTS = 1_200_000
+SHARD_CHARS = 6_500_000
 MIN_COUNT = 16
 STRIDE = 256
 #: What the way by parts relies on in the vocabulary file. Fixed values.
@@ -66,7 +65,6 @@ class PartEncoder(dict):
     """
 
     SAFE = re.compile("[\t\n -~À-ÖØ-öø-ÿ]*")
-    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9 \t\n]+")
     MOST = 600_000  #: parts after which a shard begins with an empty dictionary
 
     def __init__(self, path: str):
@@ -95,10 +93,32 @@ class PartEncoder(dict):
         self.ends.append(len(self.ids))
         return number
 
-    def numbers(self, text: str) -> np.ndarray:
-        """Numbers of the parts of a text that is ``safe``."""
-        parts = self.PARTS.findall(text.lower())
-        return np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all parts of texts that are ``safe``, and how many parts each text has.
+
+        Equal parts are found by sorting, so that a shard asks the dictionary
+        once for each; parts of up to 16 characters are compared as two
+        integers, longer ones are asked for one by one.
+        """
+        joined = "\n".join(texts).lower()
+        data = np.frombuffer(joined.encode("latin-1") + bytes(32), np.uint8)
+        starts, ends = _cut(data[:-32])
+        sizes = ends - starts
+        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from every place on
+        low, high = words[starts] & _MASK[np.minimum(sizes, 8)], words[starts + 8] & _MASK[np.clip(sizes - 8, 0, 8)]
+        mixed = (low ^ (high * _ODD)) * _ODD
+        order = np.argsort(mixed ^ (mixed >> np.uint64(29)))
+        low, high = low[order], high[order]
+        new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)]
+        long = sizes[order] > 16
+        new |= long
+        new[1:] |= long[:-1]
+        first = order[new]
+        found = np.fromiter((self[joined[i:j]] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)), np.int64, len(first))
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(found, np.diff(np.append(np.flatnonzero(new), len(order))))
+        bounds = np.cumsum([len(t) + 1 for t in texts])
+        return out, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
@@ -107,9 +127,35 @@ class PartEncoder(dict):
         return self.by_part and "<|" not in text and self.SAFE.fullmatch(text) is not None
 
 
-@lru_cache(maxsize=2)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[9, 10, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+
+
+def _cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of lower-case Latin-1 text start and end: runs of letters, single digits, runs of other marks, and an apostrophe that begins a part with the endings after it."""
+    kind = _CLASS[data]
+    before = np.concatenate([[_SPACE], kind[:-1]]).astype(np.uint8)[: len(kind)]
+    edge = (kind != before) | (kind == _DIGIT)
+    after = np.concatenate([data, np.zeros(3, np.uint8)])
+    at = np.flatnonzero((data == 39) & (before != _OTHER))
+    one, two = after[at + 1], after[at + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    edge[at[short | long] + 1] = False
+    after_ending = np.concatenate([at[short] + 2, at[long] + 3])
+    edge[after_ending[after_ending < len(edge)]] = True
+    starts = np.flatnonzero(edge & (kind != _SPACE))
+    ends = np.append(np.flatnonzero(edge), len(data))
+    return starts, ends[np.searchsorted(ends, starts, side="right")]
+
+
 def encoder(path: str) -> PartEncoder:
-    return PartEncoder(path)
+    return held("tokenstore", path, lambda: PartEncoder(path))
 
 
 # -- Re-Pair ------------------------------------------------------------------
@@ -232,13 +278,13 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 # -- the file -----------------------------------------------------------------
 def pack(rules: np.ndarray, sequence: np.ndarray, doc_tokens: np.ndarray, base: int) -> bytes:
-    """Header (magic, base, rules, symbols, documents, tokens, bytes of a symbol), rules, expansion lengths, tokens of each document, tokens before every ``STRIDE``-th symbol, sequence."""
+    """Header (magic, base, rules, symbols, documents, tokens, bytes of a symbol), rules, expansion lengths, tokens of each document, tokens before every ``STRIDE``-th symbol, sequence (its low 16 bits, then, if symbols have more, its high ones)."""
     lengths = expansion_lengths(rules, base)
     sizes = np.concatenate([np.ones(base, np.int64), lengths])[sequence]
     width = 2 if base + len(rules) <= 1 << 16 else 4
     head = MAGIC + struct.pack("<6Q", base, len(rules), len(sequence), len(doc_tokens), int(doc_tokens.sum()), width)
     before = (np.cumsum(sizes) - sizes)[::STRIDE]
-    return head + b"".join(x.tobytes() for x in (rules.astype("<u4"), lengths.astype("<u4"), doc_tokens.astype("<u4"), before.astype("<u8"), sequence.astype(f"<u{width}")))
+    return head + b"".join(x.tobytes() for x in (rules.astype("<u4"), lengths.astype("<u4"), doc_tokens.astype("<u4"), before.astype("<u8"), sequence.astype("<u2"), (sequence >> 16).astype("<u2") if width > 2 else sequence[:0]))
 
 
 class Shard:
@@ -260,7 +306,9 @@ class Shard:
         self.lengths = take("<u4", rules)
         self.doc_tokens = take("<u4", docs)
         self.before = take("<u8", -(-symbols // STRIDE))
-        self.sequence = take(f"<u{width}", symbols)
+        self.sequence = take("<u2", symbols)
+        if width > 2:
+            self.sequence = self.sequence | take("<u2", symbols).astype(np.uint32) << 16
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -317,24 +365,33 @@ class _Builder:
     def reset(self) -> None:
         if len(self.code) > self.code.MOST:
             self.code.forget()
-        self.whole: list[np.ndarray] = []  # texts that the library coded; numbered -1, -2, ...
-        self.orders: list[np.ndarray] = []
+        self.whole: list[np.ndarray] = []  # texts that the library coded, one part each
+        self.safe: list[str] = []  # the others
+        self.is_safe: list[bool] = []
         self.doc_ids: list = []
-        self.n_parts = 0
+        self.n_chars = 0
 
     def add(self, doc_id, text: str | None) -> None:
         text = text or ""
-        if self.code.safe(text):
-            order = self.code.numbers(text)
+        self.is_safe.append(self.code.safe(text))
+        if self.is_safe[-1]:
+            self.safe.append(text)
         else:
             self.whole.append(self.code.whole(text))
-            order = np.array([-len(self.whole)])
-        self.orders.append(np.append(order, 0))
         self.doc_ids.append(doc_id)
-        self.n_parts += len(order) + 1
+        self.n_chars += len(text) + 1
 
     def finish(self) -> tuple[list, int, bytes]:
-        order = np.concatenate(self.orders)
+        parts, counts = self.code.numbers(self.safe)
+        is_safe = np.array(self.is_safe)
+        of_doc = np.ones(len(is_safe), np.int64)
+        of_doc[is_safe] = counts
+        last = np.cumsum(of_doc + 1) - 1  # the end id's place
+        order = np.zeros(int(last[-1]) + 1, np.int64)  # number 0 is the end id
+        order[last[~is_safe] - 1] = -1 - np.arange(len(self.whole))
+        inner = np.repeat(is_safe, of_doc + 1)
+        inner[last] = False
+        order[inner] = parts
         known = order >= 0
         used = np.zeros(len(self.code.ends), bool)
         used[order[known]] = True
@@ -345,13 +402,13 @@ class _Builder:
         flat = _gather(np.array(self.code.ids), starts, ends - starts, numbers).astype(np.int64)
         flat = np.concatenate([flat, *self.whole])
         sizes = np.append((ends - starts)[numbers], [len(w) for w in self.whole]).astype(np.int64)
-        tokens = np.add.reduceat(sizes[order], np.cumsum([0, *map(len, self.orders[:-1])]))
+        tokens = np.diff(np.cumsum(sizes[order])[last], prepend=0)
         out = self.doc_ids, int(tokens.sum()), pack(*_repair(flat, sizes, order, self.base), tokens, self.base)
         self.reset()
         return out
 
 
-def write_store(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard_parts: int = SHARD_PARTS) -> DataFrame:
+def write_store(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Shards of all rows in ascending id order, written to the shared folder and read back.
 
     One range shuffle by id.  A row is a shard: ``part`` (ascending id ranges),
@@ -377,7 +434,7 @@ def write_store(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 builder.add(doc_id, text)
-                if builder.n_parts >= shard_parts:
+                if builder.n_chars >= shard_chars:
                     yield shard()
         if builder.doc_ids:
             yield shard()
