@@ -65,7 +65,7 @@ class PartEncoder(dict):
     """
 
     SAFE = re.compile("[\t\n -~À-ÖØ-öø-ÿ]*")
-    MOST = 600_000  #: parts after which a shard begins with an empty dictionary
+    MOST = 200_000  #: parts after which a shard begins with an empty dictionary
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
