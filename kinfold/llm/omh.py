@@ -1,8 +1,6 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
-Texts.  A text is the sequence of its words; where a block of at most
-``PERIOD`` words repeats in place more than ``REPEATS`` times, the further
-repeats are left out, so that runs of junk do not decide what two texts share.
+Texts.  A text is the sequence of all its words, runs of junk included.
 
 Sketch.  Words are hashed, runs of ``KMER`` words become k-mers, and equal
 k-mers of a text are told apart by their occurrence number.  For each of
@@ -58,7 +56,7 @@ SHORT, SHORT_BANDS = 64, 32
 PERIOD, REPEATS = 8, 16
 SMALL = 16
 SHARDS = 32  #: groups over which the pairs of one text are dealt
-CHUNK = 512  #: words within which places are selected together
+CHUNK = 512  #: words over which one table of least costs goes; a longer text deals its places over several
 RARE = 1000  #: words that more texts have are not selected
 MOST_BROADCAST = 500_000  #: rows of two short keys that may be broadcast, counted first
 FILTER_BITS = 1 << 25  #: bounds the broadcast bit table at 2**19 rows of two numbers
@@ -114,7 +112,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def folded(words: np.ndarray) -> np.ndarray:
-    """``words`` without what repeats a block of up to ``PERIOD`` words in place after its first ``REPEATS`` occurrences."""
+    """``words`` without what repeats a block of up to ``PERIOD`` words in place after its first ``REPEATS`` occurrences; not used for links."""
     n = len(words)
     more = None
     for period in range(1, min(PERIOD, n - 1) + 1):
@@ -129,7 +127,8 @@ def folded(words: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> np.ndarray:
-    return folded(word_hashes(text or ""))
+    """Hashes of all words of a text, repeats included: links are defined on them."""
+    return word_hashes(text or "")
 
 
 def labelled(values: np.ndarray) -> np.ndarray:
@@ -257,17 +256,23 @@ def most_edits(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def _cheapest(single: np.ndarray, double: np.ndarray, quota: int) -> list[tuple[int, int]]:
-    """``quota`` disjoint places (start, width) of least total cost; ``single`` and ``double`` cost a word and a pair at each start."""
+def _least_costs(single: np.ndarray, double: np.ndarray, quota: int) -> np.ndarray:
+    """``best[i, c]``: the least cost of ``c`` disjoint places among the first ``i`` words."""
     n, far = len(single), 1 << 40
-    best = np.full((n + 1, quota + 1), far, np.int64)  # best[i, c]: c places among the first i words
+    best = np.full((n + 1, quota + 1), far, np.int64)
     best[:, 0] = 0
     for i in range(1, n + 1):
         row = np.minimum(best[i - 1, 1:], best[i - 1, :-1] + single[i - 1])
         if i > 1:
             row = np.minimum(row, best[i - 2, :-1] + double[i - 2])
         best[i, 1:] = row
-    out, i, c = [], n, quota
+    return best
+
+
+def _cheapest(single: np.ndarray, double: np.ndarray, quota: int) -> list[tuple[int, int]]:
+    """``quota`` disjoint places (start, width) of least total cost; ``single`` and ``double`` cost a word and a pair at each start."""
+    best = _least_costs(single, double, quota)
+    out, i, c = [], len(single), quota
     while c:
         if best[i, c] == best[i - 1, c]:
             i -= 1
@@ -280,6 +285,19 @@ def _cheapest(single: np.ndarray, double: np.ndarray, quota: int) -> list[tuple[
     return out
 
 
+def _shares(single: np.ndarray, double: np.ndarray, cuts: list[tuple[int, int]], quota: int) -> list[int]:
+    """How many of ``quota`` places each of the chunks ``cuts`` gives at least total cost.
+
+    The least cost of c places is convex in c (places are a matching on a path
+    whose words have an edge of their own), so the cheapest next ones are taken.
+    """
+    if len(cuts) == 1:
+        return [quota]
+    more = [np.diff(_least_costs(single[x:y], double[x : y - 1], min(quota, y - x))[-1]) for x, y in cuts]
+    chunk = np.repeat(np.arange(len(cuts)), [len(m) for m in more])
+    return np.bincount(chunk[np.argsort(np.concatenate(more), kind="stable")[:quota]], minlength=len(cuts)).tolist()
+
+
 def selection(words: np.ndarray, grams: np.ndarray, prices: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """Hashes of more disjoint places than a link may have edits, but for those without a price.
 
@@ -299,8 +317,9 @@ def selection(words: np.ndarray, grams: np.ndarray, prices: np.ndarray, similari
         return np.zeros(0, np.int64)  # enough pairs of its own
     out = set()
     starts = [x for x in range(0, len(words), CHUNK) if not x or len(words) - x >= 4]  # a few words at the end join the chunk before
-    for start, end in zip(starts, [*starts[1:], len(words)], strict=True):
-        for at, width in _cheapest(single[start:end], double[start : end - 1], most_edits(end - start, similarity) + 1):
+    cuts = list(zip(starts, [*starts[1:], len(words)], strict=True))
+    for (start, end), share in zip(cuts, _shares(single, double, cuts, most_edits(len(words), similarity) + 1), strict=True):
+        for at, width in _cheapest(single[start:end], double[start : end - 1], share):
             if (single, double)[width - 1][start + at]:
                 out.add(int(hashes[width - 1][start + at]))
     return np.array(sorted(out), np.int64)

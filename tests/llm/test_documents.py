@@ -337,6 +337,33 @@ def test_folded_runs():
     assert omh.folded(omh.word_hashes("q " * 17)).tolist() == omh.word_hashes("q " * 16).tolist() and len(omh.folded(omh.word_hashes(""))) == 0
 
 
+def test_repeated_words_count_for_links(spark, monkeypatch):
+    """A long run of one pair is part of a text: it links texts that differ elsewhere, and its length sets texts apart."""
+    ship(spark)
+    rng, rows = random.Random(31), [(0, "q " * 17), (1, "q " * 300), (2, "q " * 290), (3, "x y z " * 40), (4, "x y z " * 17)]
+    for i in range(40):
+        own = [f"u{i}x{k}" if rng.random() < 0.7 else f"c{rng.randint(0, 9)}" for k in range(rng.randint(5, 60))]
+        rows.append((100 + i, " ".join(own + ["la", "lo"] * 60)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_classes(rows)
+    assert len({want[i] for i in range(5)}) == 4 and 2 < len({want[100 + i] for i in range(40)}) < 39
+    assert {r.id: r.class_id for r in omh.classes(docs).collect()} == want
+    monkeypatch.setattr(omh, "SMALL", 2)
+    monkeypatch.setattr(omh, "CHUNK", 32)
+    assert {r.id: r.class_id for r in omh.classes(docs).collect()} == want
+
+
+def test_places_of_a_long_text_avoid_its_run():
+    """Places are dealt over the chunks of a long text by cost: 200 words of its own spare the run that others have too."""
+    own = [f"w{i}" for i in range(200)]
+    words = omh.word_hashes(" ".join(own + ["la", "lo"] * 300))
+    grams = np.unique(np.concatenate(omh.places(words))).view(np.int64)
+    run = {g for part in omh.places(omh.word_hashes("la lo la")) for g in part.view(np.int64).tolist()}
+    prices = np.array([1000 if g in run else 2 for g in grams.tolist()])
+    found = omh.selection(words, grams, prices)
+    assert len(found) == omh.most_edits(800) + 1 and not run & set(found.tolist())
+
+
 def test_classes_with_ids_of_another_type(spark):
     ship(spark)
     text = " ".join(f"w{i}" for i in range(30))
