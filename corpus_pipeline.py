@@ -63,9 +63,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what is about as like some learned language as labelled texts are.
 
-    Profiles and the least score come from the labelled rows of ``docs``; without any, all rows with a letter stay.
+    Profiles and the least score come from all labelled rows of ``docs``; without any, all rows with a letter stay.
     """
-    profiles = langid.fit(docs, key=docs["doc_id"])
+    profiles = langid.fit(docs, max_train_docs=None)
     if not profiles.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     return langid.filter_known(docs, profiles, langid.least_score(docs, profiles))

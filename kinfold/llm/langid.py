@@ -6,8 +6,8 @@ product of its letters' vectors, each rotated by its place; a text is the sum
 text vectors.  Prototypes and texts are compared by cosine after the mean
 prototype, what all languages share, is taken out of both.
 
-Training is one pass over a hash-chosen share of the labelled rows, about
-``max_train_docs`` in expectation; whole texts are used.  Partial sums leave a
+Training is one pass over all labelled rows, or over a hash-chosen share of
+them, about ``max_train_docs`` in expectation; whole texts are used.  Partial sums leave a
 task as (language, dimension, integer) rows and are added by Spark, so that the
 driver receives languages x dimensions numbers, however many rows there are.
 
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinfold.durable import durable, scratch
 from kinfold.llm.frames import place, positional
 from kinfold.llm.textcache import batch_of, groups, held
 
@@ -134,12 +135,11 @@ def fold_of(id_col: Column | str, folds: int = 4) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % folds
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train_docs: int = 20_000, key: Column | None = None) -> Profiles:
-    """Prototypes from labelled rows: a share chosen by the hash of ``key`` so that about ``max_train_docs`` rows are used."""
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train_docs: int | None = 20_000, key: Column | None = None) -> Profiles:
+    """Prototypes from labelled rows: a share chosen by the hash of ``key`` so that about ``max_train_docs`` rows are used, all rows if that is None."""
     label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     rows = train.where(label.isNotNull())
-    n = rows.count()
-    if n > max_train_docs:
+    if max_train_docs is not None and (n := rows.count()) > max_train_docs:
         chosen = F.pmod(F.xxhash64(key if key is not None else text, F.lit(SEED)), F.lit(1 << 30))
         rows = rows.where(chosen < F.lit(max_train_docs * (1 << 30) // n))
 
@@ -198,18 +198,43 @@ def annotate(df: DataFrame, profiles: Profiles, text_col: str = "text", lang_nam
     return marked.toDF(*df.columns, lang_name, score_name)
 
 
-def least_score(train: DataFrame, profiles: Profiles, share: float = 0.001, text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000) -> float:
-    """Half the score below which ``share`` of the labelled texts with letters lie; from about ``max_docs`` of them, chosen by hash.
+def percentile(values: DataFrame, share: float, buckets: int = 4096) -> float | None:
+    """The interpolated percentile of all of ``values`` (value), None without any.
+
+    Values are counted in buckets, then those of the bucket that holds the rank
+    in finer ones, until it holds one value; the driver gets ``buckets`` rows a round.
+    """
+    n, least, most = values.agg(F.count("value"), F.min("value"), F.max("value")).first()
+    if not n:
+        return None
+
+    def ranked(rank: int) -> float:
+        lo, hi, below = least, most, 0
+        while lo < hi:  # the ends fall into different buckets, so that each round leaves fewer values
+            bucket = F.floor((F.col("value") - lo) / (hi - lo) * (buckets - 1))
+            counts = values.where(F.col("value").between(lo, hi)).groupBy(bucket.alias("bucket")).agg(F.count("value"), F.min("value"), F.max("value")).collect()
+            for _, count, lo, hi in sorted(counts):  # noqa: B020  of the bucket that holds the rank
+                if below + count > rank:
+                    break
+                below += count
+        return lo
+
+    position = share * (n - 1)
+    lower = int(position)
+    first = ranked(lower)
+    return first if position == lower else (lower + 1 - position) * first + (position - lower) * ranked(lower + 1)
+
+
+def least_score(train: DataFrame, profiles: Profiles, share: float = 0.001, text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half the score below which ``share`` of all labelled texts with letters lie.
 
     Half, so that labelled texts themselves stay: a text has to be much less like its language than the oddest of them.
     """
     label, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
     rows = train.where(label.isNotNull()).select(F.lit(0).alias("id"), text.alias("text"))
-    n = rows.count()
-    if n > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)) < F.lit(max_docs * (1 << 30) // n))
-    scored = predict(rows, profiles, "id").where(F.col("lang_pred") != UNKNOWN)
-    return (scored.agg(F.percentile("score", F.lit(share)).alias("least")).first()["least"] or 0.0) / 2
+    with scratch(train.sparkSession):
+        scored = durable(predict(rows, profiles, "id").where(F.col("lang_pred") != UNKNOWN).select(F.col("score").alias("value")), "langid-scores")
+        return (percentile(scored, share) or 0.0) / 2
 
 
 def filter_known(df: DataFrame, profiles: Profiles, least: float, text_col: str = "text") -> DataFrame:

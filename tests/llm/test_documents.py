@@ -106,6 +106,29 @@ def test_training_sample_is_bounded(spark, small):
     assert langid.fit(small, max_train_docs=20, key=small["doc_id"]).languages  # fewer rows still give profiles
 
 
+def test_threshold_and_profiles_of_all_labelled_rows(spark, small, monkeypatch):
+    """More rows than a sample would hold: every labelled text counts for the threshold, and for the pipeline's profiles."""
+    import corpus_pipeline
+
+    ship(spark)
+    rng = random.Random(5)
+    profiles = langid.fit(small)
+    rows = [(i, "".join(rng.choices("abcdefghij ", k=rng.randint(5, 40))), "en", "s", 1) for i in range(21_000)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(8)
+    scores = [r.score for r in langid.predict(docs, profiles).where("lang_pred <> 'und'").collect()]
+    assert langid.least_score(docs, profiles) == pytest.approx(np.percentile(scores, 0.1) / 2, abs=1e-12)
+    for share in (0.0, 0.3, 0.5, 1.0):
+        some = [rng.choice([0.0, 0.25, rng.random(), rng.random() * 1e-12]) for _ in range(101)]
+        values = spark.createDataFrame([(v,) for v in some], "value double")
+        assert langid.percentile(values, share, 8) == pytest.approx(np.percentile(some, 100 * share), rel=1e-12, abs=1e-30)
+    assert langid.percentile(docs.limit(0).selectExpr("cast(1 as double) as value"), 0.5) is None
+
+    used = []
+    monkeypatch.setattr(langid, "fit", lambda train, **how: used.append((train.count(), how)) or profiles)
+    corpus_pipeline.language_id(spark, small, "")
+    assert used == [(small.count(), {"max_train_docs": None})]
+
+
 # -- quality ---------------------------------------------------------------------
 def brute_quality(text):
     text = text or ""
