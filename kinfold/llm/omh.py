@@ -24,8 +24,11 @@ are joined on a selection of their words and word pairs.  A text of n words
 selects one more disjoint place (a word, or two adjacent words) than the edits
 a link may have; each edit breaks one place at most, so every shorter or equal
 text linked with it contains one of them.  The places that occur in the fewest
-texts are selected, and a text with enough pairs of words of its own needs no
-join at all.
+texts of other components are selected, and a text with enough pairs of words
+of its own needs no join at all.  A text whose places occur in more texts than
+there are of a length that allows a link is not joined: blocks of such texts
+meet blocks of these, where the words that two texts share, repeats counted,
+leave few pairs to be aligned.
 
 A link is missed only if two texts share no bucket at all; the README has the
 measured rates by similarity and length.
@@ -41,6 +44,7 @@ told apart by 64 bits of their MD5 within the graph of links.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +62,9 @@ SMALL = 16
 SHARDS = 32  #: groups over which the pairs of one text are dealt
 CHUNK = 512  #: words over which one table of least costs goes; a longer text deals its places over several
 RARE = 1000  #: words that more texts have are not selected
+LARGEST = 4  #: components whose own texts are left out of the prices of their places
+BROAD = 64  #: a text whose places have so many occurrences or fewer is always joined by them
+BLOCK = 128  #: texts of a block
 MOST_BROADCAST = 500_000  #: rows of two short keys that may be broadcast, counted first
 FILTER_BITS = 1 << 25  #: bounds the broadcast bit table at 2**19 rows of two numbers
 _MIX, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -447,12 +454,12 @@ def _index(texts: DataFrame) -> DataFrame:
 
 
 def _selected(texts: DataFrame, priced: DataFrame, similarity: float) -> DataFrame:
-    """(gram, node, comp, n): the selected places of ``texts`` (node, comp, text); ``priced`` (node, gram, price) has the prices of their places."""
+    """(gram, node, comp, n, cost): the selected places of ``texts`` (node, comp, text), and the sum of their prices, of which ``priced`` (node, gram, price) has all."""
     none = F.lit(None).cast("long")
     rows = texts.select("node", F.lit(0).alias("role"), "text", "comp", none.alias("gram"), none.alias("price"))
     rows = rows.unionByName(priced.select("node", F.lit(1).alias("role"), F.lit(None).cast("string").alias("text"), none.alias("comp"), "gram", "price"))
     grouped = rows.repartition("node").sortWithinPartitions("node", "role")
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("comp", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("gram", "node", "comp", "n", "cost")])
 
     def run(batches):
         now, prices = None, []
@@ -460,8 +467,10 @@ def _selected(texts: DataFrame, priced: DataFrame, similarity: float) -> DataFra
         def result():
             node, comp, text = now
             words = words_of(text)
-            grams = selection(words, *(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in prices)]) for i in (0, 1)), similarity)
-            return batch_of(schema, [pa.array(grams), *(pa.array(np.full(len(grams), x, np.int64)) for x in (node, comp, len(words)))])
+            listed, price = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in prices)]) for i in (0, 1))
+            grams = selection(words, listed, price, similarity)
+            cost = price[np.isin(listed, grams)].sum()
+            return batch_of(schema, [pa.array(grams), *(pa.array(np.full(len(grams), x, np.int64)) for x in (node, comp, len(words), cost))])
 
         for batch in batches:
             role = batch.column(1).to_numpy()
@@ -477,26 +486,102 @@ def _selected(texts: DataFrame, priced: DataFrame, similarity: float) -> DataFra
         if now is not None:
             yield result()
 
-    return grouped.mapInArrow(run, "gram long, node long, comp long, n long")
+    return grouped.mapInArrow(run, "gram long, node long, comp long, n long, cost long")
+
+
+def length_class(similarity: float = SIMILARITY):
+    """A class of the length ``n``; texts of lengths that allow a link are in one class or in adjacent ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / math.log(1.01 / similarity)).cast("int")
+
+
+def _shared(labels: list[np.ndarray]):
+    """A function of a text's distinct labelled words: how many of them each of ``labels`` has."""
+    flat = np.concatenate(labels)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(labels)), [len(x) for x in labels])[order]
+
+    def run(own: np.ndarray) -> np.ndarray:
+        first, last = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+        sizes = last - first
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(owner[at], minlength=len(labels))
+
+    return run
+
+
+def block_pairs(texts: DataFrame, broad: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of ``broad`` and no longer ``members`` (node, comp, n) in different components that share enough words for a link.
+
+    Both are dealt into blocks of about ``BLOCK`` texts of a length class, and
+    every block of ``broad`` meets every block of its class and the one below.
+    A text travels once for each block that it meets.
+    """
+    blocks = lambda df, column: df.groupBy(length_class(similarity).alias(column)).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"of_{column}"))
+    grid = F.broadcast(blocks(broad, "x").join(blocks(members, "y"), F.col("y").isin(F.col("x"), F.col("x") - 1)))
+    own, each = lambda column: F.pmod(F.xxhash64("node"), F.col(f"of_{column}")).cast("int"), lambda column: F.explode(F.sequence(F.lit(0), F.col(f"of_{column}") - 1))
+    left = broad.select("node", "comp", length_class(similarity).alias("x")).join(grid, "x").withColumn("in_x", own("x")).withColumn("in_y", each("y")).withColumn("role", F.lit(0))
+    right = members.select("node", "comp", length_class(similarity).alias("y")).join(grid, "y").withColumn("in_y", own("y")).withColumn("in_x", each("x")).withColumn("role", F.lit(1))
+    cell = ["x", "y", "in_x", "in_y"]
+    rows = left.select(*cell, "role", "node", "comp").unionByName(right.select(*cell, "role", "node", "comp"))
+    grouped = rows.join(texts.select("node", "text"), "node").select(*cell, "role", "node", "comp", "text").repartition(*cell).sortWithinPartitions(*cell, "role")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        only("omh")
+        now, shared, heads, labels = None, None, [], []
+        for batch in batches:
+            pairs = [np.zeros((0, 2), np.int64)]
+            for *key, role, node, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = labelled(words_of(text))
+                if key != now:
+                    now, shared, heads, labels = key, None, [], []
+                if role == 0:
+                    heads.append((node, comp, len(own), most_edits(len(own), similarity)))
+                    labels.append(own)
+                    continue
+                if not heads:
+                    continue
+                if shared is None:
+                    shared, labels = _shared(labels), []
+                    nodes, comps, sizes, most = np.array(heads, np.int64).T
+                near = (comps != comp) & (sizes >= len(own)) & (sizes - len(own) <= most) & (sizes - shared(own) <= most)
+                if near.any():
+                    pairs.append(np.stack([nodes[near], np.full(near.sum(), node)], 1))
+            flat = np.concatenate(pairs)
+            yield batch_of(schema, [pa.array(flat.min(1)), pa.array(flat.max(1))])
+
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
 def place_pairs(pool: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a, b) of ``members`` (node, comp, n) in different components, every link among them."""
     texts = durable(narrowed(pool, members, "node").join(members.select("node", "comp"), "node").select("node", "comp", "text"), "omh-large-texts")
     index = durable(_index(texts), "omh-index")
-    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    largest = [r.comp for r in members.groupBy("comp").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "comp").limit(LARGEST).collect()]
+    own = [F.count_if(F.col("comp") == c).alias(f"own{i}") for i, c in enumerate(largest)]
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), *own)
     alone, word = F.col("lo") == F.col("hi"), F.col("gram").bitwiseAND(F.lit(1)) == 1
     listed = counts.where((word & (alone | (F.col("texts") <= RARE))) | (~word & ~alone))
-    prices = listed.select("gram", F.when(alone, 0).otherwise(F.col("texts")).cast("long").alias("price"))
-    priced = durable(index.join(prices, "gram").select("gram", "node", "comp", "n", "price"), "omh-priced")
+    price = F.col("texts")
+    for i, c in enumerate(largest):
+        price = price - F.when(F.col("comp") == c, F.col(f"own{i}")).otherwise(0)
+    price = F.when(alone, 0).otherwise(price).cast("long")
+    priced = durable(index.join(listed, "gram").select("gram", "node", "comp", "n", price.alias("price")), "omh-priced")
     release(index)
     tidy(pool.sparkSession)
-    chosen = durable(_selected(texts, priced, similarity), "omh-chosen")
-    release(texts)
-    x, y = chosen.alias("x"), priced.where("price > 0").alias("y")
+    sizes = members.groupBy(length_class(similarity).alias("length")).agg(F.count(F.lit(1)).alias("window"))
+    sizes = sizes.unionByName(sizes.withColumn("length", F.col("length") + 1)).groupBy("length").agg(F.sum("window").alias("window"))
+    chosen = _selected(texts, priced, similarity).withColumn("length", length_class(similarity)).join(F.broadcast(sizes), "length")
+    chosen = durable(chosen.select("gram", "node", "comp", "n", ((F.col("cost") > BROAD) & (F.col("cost") > F.col("window"))).alias("broad")), "omh-chosen")
+    x, y = chosen.where("not broad").alias("x"), priced.where("price > 0").alias("y")
     near = (F.col("y.n") <= F.col("x.n")) & (F.col("y.n") >= similarity * F.col("x.n") - 1e-9)
     pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & near)
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    broad = durable(chosen.where("broad").select("node", "comp", "n").distinct(), "omh-broad")
+    if not broad.isEmpty():
+        pairs = pairs.unionByName(durable(block_pairs(texts, broad, members, similarity), "omh-blocks"))
+    release(texts)
+    return pairs.distinct()
 
 
 def _across(placed: DataFrame, similarity: float) -> DataFrame:

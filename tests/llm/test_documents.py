@@ -351,6 +351,60 @@ def test_place_pairs_hold_every_link(spark):
     assert links <= got and len(got) < len(rows) * (len(rows) - 1) / 4
 
 
+def around_the_rule(rng, count):
+    """Texts of one long run and 13 to 35 words of a small vocabulary, by which most are just too far from each other."""
+    return [(i, " ".join([f"c{int(30 * rng.random() ** 2)}" for _ in range(rng.randint(13, 35))] + ["la", "lo"] * 30)) for i in range(count)]
+
+
+def test_pairs_around_the_rule_are_few(spark):
+    """Texts that share a run, and any selection of places, with nearly all others: only pairs with enough words in common remain."""
+    ship(spark)
+    rows = around_the_rule(random.Random(41), 70)
+    pool = spark.createDataFrame(rows, "node long, text string")
+    members = spark.createDataFrame([(i, i, len(t.split())) for i, t in rows], "node long, comp long, n long")
+    got = {(r.a, r.b) for r in omh.place_pairs(pool, members).collect()}
+    links, enough = set(), set()
+    for k, (j, u) in enumerate(rows):
+        for i, t in rows[:k]:
+            a, b = t.split(), u.split()
+            if max(len(a), len(b)) - (Counter(a) & Counter(b)).total() <= omh.most_edits(max(len(a), len(b))):
+                enough.add((i, j))
+                if similar(a, b):
+                    links.add((i, j))
+    assert links and links <= got <= enough
+
+
+def test_blocks_of_broad_texts(spark, monkeypatch):
+    """Blocks hold every link of a broad text, whatever their size and the lengths of the texts, one word and the rule's bounds included."""
+    ship(spark)
+    monkeypatch.setattr(omh, "BLOCK", 7)
+    rng = random.Random(43)
+    rows = around_the_rule(rng, 20)
+    for n in [1, 1, 2, 4, 5, *range(8, 60, 3)]:
+        words = [f"d{rng.randint(0, 9)}" for _ in range(n)]
+        rows += [(1000 + len(rows), " ".join(words)), (1000 + len(rows) + 1, " ".join(words[: -(n // 5) or None]))]
+    rows = list({t: (i, t) for i, t in rows}.values())
+    pool = spark.createDataFrame(rows, "node long, text string")
+    members = spark.createDataFrame([(i, i // 2, len(t.split())) for i, t in rows], "node long, comp long, n long")
+    texts = pool.join(members.select("node", "comp"), "node").select("node", "comp", "text")
+    got = [(r.a, r.b) for r in omh.block_pairs(texts, members, members).collect()]
+    links = {tuple(sorted((i, j))) for k, (j, u) in enumerate(rows) for i, t in rows[:k] if i // 2 != j // 2 and similar(t.split(), u.split())}
+    assert len(set(got)) == len(got) and links and links <= set(got) and all(a // 2 != b // 2 for a, b in got)
+
+
+def test_classes_of_texts_around_the_rule(spark, monkeypatch):
+    ship(spark)
+    rows = around_the_rule(random.Random(42), 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_classes(rows)
+    assert 1 < len(set(want.values())) < len(rows)
+    assert {r.id: r.class_id for r in omh.classes(docs).collect()} == want
+    monkeypatch.setattr(omh, "BROAD", 0)
+    monkeypatch.setattr(omh, "BLOCK", 3)
+    monkeypatch.setattr(omh, "LARGEST", 1)
+    assert {r.id: r.class_id for r in omh.classes(docs).collect()} == want
+
+
 def test_folded_runs():
     words = omh.word_hashes("a b " + "x y " * 300 + "c " + "z " * 16 + "d")
     assert omh.folded(words).tolist() == omh.word_hashes("a b " + "x y " * 16 + "c " + "z " * 16 + "d").tolist()
