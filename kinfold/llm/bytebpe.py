@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding on length-bucketed padded matrices.
 
-Distinct pre-tokens of a batch are put, by length, into padded integer
+Texts are cut into pre-tokens on arrays of character classes, and equal
+pre-tokens of a batch are found by sorting, so that the memo from pre-token to
+ids is asked once for each.  Distinct pre-tokens of a batch are put, by length, into padded integer
 matrices.  In each round every row merges its leftmost minimum-rank pair; the
 row closes up, only the two pairs beside the merge are looked up again in a
 hash table of pairs, and rows without a mergeable pair leave the matrix.  In
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm.textcache import WHITE_SPACE, Memo, batch_of, groups, held
+from kinfold.llm.textcache import batch_of, groups, held
 
 NONE = np.int32(2**31 - 1)
 WIDE = 64
 CELLS = 1_000_000
+#: The pattern that is followed on arrays; texts are matched one by one with any other. Fixed value.
+ARRAYS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER, _SPACE, _LETTER, _NUMBER, _BREAK = range(5)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class PairTable:
@@ -76,7 +82,50 @@ def early(left: np.ndarray, right: np.ndarray, merged: np.ndarray, n: int) -> np
     return out
 
 
+def classes() -> np.ndarray:
+    """Of every code point whether it is white space, a letter, a number or anything else."""
+    import regex
+
+    every, out = "".join(map(chr, range(0x110000))), np.full(0x110000, _OTHER, np.uint8)
+    for kind, run in ((_SPACE, r"\s+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for found in regex.finditer(run, every):
+            out[found.start() : found.end()] = kind
+    return out
+
+
+def _cut(code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the matches of ``ARRAYS`` start and end; the last character and those between texts are breaks.
+
+    Runs of a kind, but: a contraction begins at an apostrophe where no match
+    is under way; white space before something else leaves its last character
+    out, which is a match of its own or, if a blank, begins the next one.
+    """
+    edge = np.append(True, kind[1:] != kind[:-1])
+    at = np.flatnonzero(code == 39)
+    at = at[(at == 0) | (kind[at - 1] != _OTHER) & (code[at - 1] != 32)]
+    one, two = code[at + 1], code[np.minimum(at + 2, len(code) - 1)]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    edge[at[short | long] + 1] = False
+    edge[at[short] + 2] = True
+    edge[at[long] + 3] = True
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _BREAK))
+    edge[last] = True
+    edge[last[code[last] == 32] + 1] = False
+    edges = np.flatnonzero(edge)
+    inside = kind[edges] != _BREAK
+    return edges[inside], np.append(edges[1:], len(code))[inside]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenation of ``flat[starts[i] : starts[i] + sizes[i]]``."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class ByteBpe:
+    MOST, LONG = 300_000, 64  #: pre-tokens after which a batch begins with an empty memo; bytes of those that are forgotten after their batch
+
     def __init__(self, rank_path: str, pattern: str):
         import regex
 
@@ -91,10 +140,15 @@ class ByteBpe:
         self.pairs = PairTable(left, right, merged)
         self.first = early(left, right, merged, len(self.token))
         self.byte_id = np.array([rank[bytes([b])] for b in range(256)], np.int32)
-        self.pattern = regex.compile(pattern)
-        # A pre-token never has a non-space before a space, so texts are cut there first.
-        self.chunks = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-        self.piece, self.chunk = Memo(None), Memo(None)
+        self.pattern, self.classes = regex.compile(pattern), classes() if pattern == ARRAYS else None
+        sizes = np.fromiter(map(len, self.token), np.int64, len(self.token))
+        self.token_bytes, self.token_sizes, self.token_starts = np.frombuffer(b"".join(self.token), np.uint8), sizes, np.cumsum(sizes) - sizes
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memo, which numbers pre-tokens; ``ids`` holds their ids one after the other, ``ends`` where those of each end."""
+        self.number: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     # -- merging ---------------------------------------------------------
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -192,31 +246,81 @@ class ByteBpe:
     # -- texts -----------------------------------------------------------
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
-        parts = [self.chunks.findall(t) for t in texts]
-        new = self.chunk.missing(set().union(*parts))
-        found = list(map(self._split, new))
-        miss = list(self.piece.missing(set().union(*found)))
-        for x, ids in zip(miss, self.encode_pieces([x.encode("utf-8") for x in miss]), strict=True):
-            self.piece.put(x, ids.astype("<u4").tobytes())
-        piece = self.piece.__getitem__
-        for c, f in zip(new, found, strict=True):
-            self.chunk.put(c, b"".join(map(piece, f)))
-        out = [b"".join(map(self.chunk.__getitem__, p)) for p in parts]
-        self.chunk.trim()
-        self.piece.trim()
-        return out
-
-    def _split(self, chunk: str) -> list[str]:
-        """The pre-tokens of a chunk; letters after one space, with or without a mark behind, need no pattern."""
-        if chunk[0] == " ":
-            if chunk[1:].isalpha():
-                return [chunk]
-            if chunk[-1] in ".,;:!?" and chunk[1:-1].isalpha():
-                return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
+        if not texts:
+            return []
+        data, starts, ends, last = self._pre_tokens(texts)
+        numbers, kept = self._numbers(data, starts, ends)
+        sizes = np.diff(self.ends, prepend=0)
+        first, n = self.ends - sizes, sizes[numbers]
+        ids = _gather(self.ids, first[numbers], n).astype("<u4").tobytes()
+        bounds = 4 * np.append(0, np.cumsum(n))[np.append(0, last)]
+        self._trim(kept)
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _pre_tokens(self, texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """UTF-8 text, where its pre-tokens start and end, and how many there are up to each text's end."""
+        if self.classes is None:
+            found = [[m.encode("utf-8") for m in self.pattern.findall(t)] for t in texts]
+            ends = np.cumsum([len(m) for f in found for m in f], dtype=np.int64)
+            return b"".join(m for f in found for m in f), np.append(0, ends[:-1])[: len(ends)], ends, np.cumsum([len(f) for f in found], dtype=np.int64)
+        joined = "".join([t + "\n" for t in texts])
+        data = joined.encode("utf-8")
+        plain = len(data) == len(joined)
+        code = np.frombuffer(data, np.uint8) if plain else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = self.classes[code]
+        breaks = np.cumsum([len(t) + 1 for t in texts]) - 1
+        kind[breaks] = _BREAK
+        starts, ends = _cut(code, kind)
+        last = np.searchsorted(starts, breaks)
+        if not plain:
+            place = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)  # of each character's first byte
+            starts, ends = place[starts], place[ends]
+        return data, starts, ends, last
+
+    def _numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int]:
+        """The memo's numbers of all pre-tokens, and how many of its numbers are to be kept.
+
+        Pre-tokens of up to 16 bytes are compared as two integers and a size,
+        longer ones are asked for one by one.
+        """
+        padded, sizes = data + bytes(16), ends - starts
+        words = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the eight bytes from every place on
+        low, high = words[starts] & _MASK[np.minimum(sizes, 8)], words[starts + 8] & _MASK[np.clip(sizes - 8, 0, 8)]
+        mixed = (low ^ ((high ^ sizes.astype(np.uint64)) * _ODD)) * _ODD
+        order = np.argsort(mixed ^ (mixed >> np.uint64(29)))
+        low, high, size = low[order], high[order], sizes[order]
+        new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size[1:] != size[:-1]))[: len(order)]
+        long = size > 16
+        new |= long
+        new[1:] |= long[:-1]
+        first = order[new]
+        keys = [data[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        get = self.number.get
+        found = np.fromiter([get(k, -1) for k in keys], np.int64, len(keys))
+        asked = [keys[i] for i in np.flatnonzero(found < 0).tolist()]
+        miss = sorted(set(asked), key=len)
+        self.number.update(zip(miss, range(len(self.ends), len(self.ends) + len(miss)), strict=True))
+        found[found < 0] = [self.number[k] for k in asked]
+        kept = len(self.ends) + sum(len(k) <= self.LONG for k in miss)
+        if miss:
+            coded = self.encode_pieces(miss)
+            self.ids = np.concatenate([self.ids, *coded])
+            self.ends = np.append(self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum([len(x) for x in coded]))
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(found, np.diff(np.append(np.flatnonzero(new), len(order))))
+        return out, kept
+
+    def _trim(self, kept: int) -> None:
+        if kept > self.MOST:
+            self.forget()
+        while len(self.number) > kept:  # the long ones of this batch are the last
+            self.number.popitem()
+        self.ends = self.ends[:kept]
+        self.ids = self.ids[: self.ends[-1] if len(self.ends) else 0]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        at = np.frombuffer(ids, "<u4")
+        return _gather(self.token_bytes, self.token_starts[at], self.token_sizes[at]).tobytes()
 
 
 def codec(rank_path: str, pattern: str) -> ByteBpe:

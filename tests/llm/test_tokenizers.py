@@ -209,6 +209,47 @@ def test_long_pre_tokens_are_rows_of_a_matrix():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_pre_tokens_on_arrays_are_those_of_the_pattern():
+    code, rng = bytebpe.ByteBpe(vocab.path("byte_bpe_50k.tiktoken"), vocab.PATTERN), random.Random(16)
+    assert vocab.PATTERN == bytebpe.ARRAYS
+    alphabets = ["'srevtmldaz ", "a1 '\n\t.", ALPHABET + "\0\x0b\x0c\x1c\x1f\x85\xa0\u2028\u3000²½Ⅷ٣ªß", "ab '\0"]
+    texts = ["", "", "'s", "'", "'l", " ", "'ll've 'd''s's \n's", "a  \n b ", "\0", "\0\0", *["".join(rng.choices(a, k=rng.randint(0, 40))) for a in alphabets for _ in range(2000)], "'r", "\n"]
+    for batch in (texts, [t for t in texts if t.isascii()], [""]):
+        data, starts, ends, last = code._pre_tokens(batch)
+        got, begin = [data[i:j].decode() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], 0
+        for text, end in zip(batch, last.tolist(), strict=True):
+            assert got[begin:end] == code.pattern.findall(text)
+            begin = end
+    assert code.encode_batch([]) == []
+    other = bytebpe.ByteBpe(vocab.path("byte_bpe_50k.tiktoken"), f"(?:{vocab.PATTERN})")  # the same matches, found by the pattern
+    assert other.classes is None and other.encode_batch(texts) == code.encode_batch(texts) and other.encode_batch([""]) == [b""]
+
+
+def test_memo_is_asked_once_for_equal_pre_tokens():
+    """The cost of a batch follows its distinct pre-tokens; the memo is bounded, and no bound changes a result."""
+
+    class Asked(dict):
+        times = 0
+
+        def get(self, *args):
+            self.times += 1
+            return super().get(*args)
+
+    path, rng = vocab.path("byte_bpe_50k.tiktoken"), random.Random(17)
+    code = bytebpe.ByteBpe(path, vocab.PATTERN)
+    words = ["".join(rng.choices("aehinst\0ü", k=rng.randint(1, 15))) for _ in range(100)]
+    texts = [" ".join(rng.choices(words, k=500)) + "x" * 100 for _ in range(40)]
+    code.number = Asked()
+    want = code.encode_batch(texts)
+    found = [x for t in texts for x in code.pattern.findall(t)]
+    assert code.number.times <= len({x for x in found if len(x.encode()) <= 16}) + sum(len(x.encode()) > 16 for x in found) < len(found) / 20
+    assert len(code.number) == len(code.ends) and max(map(len, code.number)) <= code.LONG and code.ends[-1] == len(code.ids)
+    assert code.encode_batch(texts) == want
+    code.MOST = 10
+    assert [x for t in texts for x in code.encode_batch([t])] == want and len(code.number) <= 10
+    assert b"".join(map(code.decode, want)) == "".join(texts).encode()
+
+
 def test_merges_of_lower_rank_go_first():
     """A made-up vocabulary in which a merged id takes part in pairs of lower rank, against repeated search."""
     rng = random.Random(7)
