@@ -28,6 +28,7 @@ import re
 import struct
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]
 
 
 # -- encoding -----------------------------------------------------------------
-class PartEncoder(dict):
+class PartEncoder:
     """The tokenizers library's ids, part by part where that is the same as the whole text.
 
     Normalisation of the vocabulary changes letters one by one, and its
@@ -60,17 +61,19 @@ class PartEncoder(dict):
     whole, and so do all texts if the vocabulary file normalises or splits in
     another way.
 
-    As a dictionary it numbers the parts met so far; ``ids`` holds their ids one
-    after the other, ``ends`` where those of each end.  Number 0 is the end id.
+    It numbers the parts met so far; ``ids`` holds their ids one after the
+    other, ``ends`` where those of each end.  Number 0 is the end id.  Parts of
+    up to 16 characters, as two integers, are found by binary search in arrays
+    that are sorted by a mix of both; longer ones, and those whose mix another
+    part has, are found in a dictionary.
     """
 
     SAFE = re.compile("[\t\n -~À-ÖØ-öø-ÿ]*")
-    MOST = 200_000  #: parts after which a shard begins with an empty dictionary
+    MOST, MOST_LONG = 800_000, 100_000  #: parts, and parts in the dictionary, after which a shard begins with no parts
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as f:
@@ -79,26 +82,42 @@ class PartEncoder(dict):
         self.by_part = by_part and all(t["content"].startswith("<|") and not t["single_word"] for t in form.get("added_tokens", ()))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level text
         rest = [b for b in range(256) if b not in plain]
-        self.table = {b: 256 + i for i, b in enumerate(rest)}
+        self.letter = np.arange(256, dtype="<u2")  # of byte-level text, but line ends stay, which no part has
+        self.letter[rest] = 256 + np.arange(len(rest))
+        self.letter[10] = 10
         self.forget()
 
     def forget(self) -> None:
-        self.clear()
         self.ids, self.ends = array("i", [END]), array("q", [1])
-
-    def __missing__(self, part: str) -> int:
-        mapped = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.table)
-        number = self[part] = len(self.ends)
-        self.ids.extend([t.id for t in self.tokenize(mapped)])
-        self.ends.append(len(self.ids))
-        return number
+        self.mixed, self.low, self.high = np.array([[2**64 - 1], [0], [0]], np.uint64)  # behind all others, and no part's
+        self.number, self.long = np.zeros(1, np.int32), {}
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def full(self) -> bool:
+        return len(self) > self.MOST or len(self.long) > self.MOST_LONG
+
+    def items(self) -> Iterator[tuple[str, int]]:
+        """Every part with its number."""
+        for low, high, number in zip(self.low[:-1].tolist(), self.high[:-1].tolist(), self.number[:-1].tolist(), strict=True):
+            yield struct.pack("<2Q", low, high).rstrip(b"\0").decode("latin-1"), number
+        yield from self.long.items()
+
+    def _add(self, parts: list[str]) -> range:
+        """The numbers of parts that have none yet."""
+        if parts:
+            mapped = self.letter[np.frombuffer("\n".join(parts).encode("utf-8"), np.uint8)].tobytes().decode("utf-16-le")
+            for part in mapped.split("\n"):
+                self.ids.extend([t.id for t in self.tokenize(part)])
+                self.ends.append(len(self.ids))
+        return range(len(self.ends) - len(parts), len(self.ends))
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all parts of texts that are ``safe``, and how many parts each text has.
 
-        Equal parts are found by sorting, so that a shard asks the dictionary
-        once for each; parts of up to 16 characters are compared as two
-        integers, longer ones are asked for one by one.
+        Equal parts are found by sorting, so that a shard looks each up once,
+        all at a time; longer ones are asked for one by one.
         """
         joined = "\n".join(texts).lower()
         data = np.frombuffer(joined.encode("latin-1") + bytes(32), np.uint8)
@@ -107,19 +126,43 @@ class PartEncoder(dict):
         words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from every place on
         low, high = words[starts] & _MASK[np.minimum(sizes, 8)], words[starts + 8] & _MASK[np.clip(sizes - 8, 0, 8)]
         mixed = (low ^ (high * _ODD)) * _ODD
-        order = np.argsort(mixed ^ (mixed >> np.uint64(29)))
+        mixed ^= mixed >> np.uint64(29)
+        order = np.argsort(mixed)
         low, high = low[order], high[order]
         new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(order)]
         long = sizes[order] > 16
         new |= long
         new[1:] |= long[:-1]
         first = order[new]
-        found = np.fromiter((self[joined[i:j]] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)), np.int64, len(first))
+        found = self._found(mixed[first], low[new], high[new], long[new], joined, starts[first], ends[first])
         out = np.empty(len(order), np.int64)
         out[order] = np.repeat(found, np.diff(np.append(np.flatnonzero(new), len(order))))
         bounds = np.cumsum([len(t) + 1 for t in texts])
         return out, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
+    def _found(self, mixed: np.ndarray, low: np.ndarray, high: np.ndarray, long: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the parts of ``joined`` from ``starts`` to ``ends``, in ascending order of ``mixed``; new parts get one."""
+
+        def texts(at: np.ndarray) -> list[str]:
+            return [joined[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+
+        place = np.searchsorted(self.mixed, mixed)
+        taken = self.mixed[place] == mixed
+        known = taken & (self.low[place] == low) & (self.high[place] == high)
+        apart = long | taken & ~known
+        same = mixed[1:] == mixed[:-1]
+        apart[1:] |= same
+        apart[:-1] |= same
+        out = self.number[place].astype(np.int64)
+        new, apart = np.flatnonzero(~(known | apart)), np.flatnonzero(apart)
+        out[new] = self._add(texts(new))
+        self.mixed, self.low, self.high, self.number = (np.insert(x, place[new], y[new]) for x, y in ((self.mixed, mixed), (self.low, low), (self.high, high), (self.number, out)))
+        others = texts(apart)
+        missing = [part for part in dict.fromkeys(others) if part not in self.long]
+        self.long.update(zip(missing, self._add(missing), strict=True))
+        out[apart] = [self.long[part] for part in others]
+        return out
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
 
@@ -363,7 +406,7 @@ class _Builder:
         self.reset()
 
     def reset(self) -> None:
-        if len(self.code) > self.code.MOST:
+        if self.code.full():
             self.code.forget()
         self.whole: list[np.ndarray] = []  # texts that the library coded, one part each
         self.safe: list[str] = []  # the others

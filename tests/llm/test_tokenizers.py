@@ -127,6 +127,37 @@ def test_parts_are_those_of_the_pattern():
         assert [names[n] for n in numbers.tolist()] == [x for w in want for x in w]
 
 
+def test_parts_are_coded_once_over_many_shards():
+    """A worker codes a part once for 250,000 different parts, and remembers them in few bytes."""
+    code, coded = tokenstore.PartEncoder(vocab.path("word_bpe_49k.json")), []
+    builder, tokenize = tokenstore._Builder(code), code.tokenize
+    code.tokenize = lambda part: coded.append(part) or tokenize(part)
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(250_000)]
+    for at in (0, 125_000, 0, 125_000):
+        builder.add(at, " ".join(words[at : at + 125_000]))
+        shard = tokenstore.Shard(builder.finish()[2])
+        assert shard.ids()[:2000].tolist() == code.tokenizer.encode(" ".join(words[at : at + 2000]), add_special_tokens=False).ids[:2000]
+    assert len(coded) == len(set(coded)) == len(code) == 250_000
+    assert sum(x.nbytes for x in (code.mixed, code.low, code.high, code.number)) < 30 * len(code)
+
+
+@pytest.mark.parametrize("odd", [0, 1, 1 << 56, 1 << 61])
+def test_parts_with_equal_mixes(odd, monkeypatch):
+    """A mix under which many parts collide, within a shard and with those of earlier ones, changes no result."""
+    monkeypatch.setattr(tokenstore, "_ODD", np.uint64(odd))
+    code, rng = tokenstore.PartEncoder(vocab.path("word_bpe_49k.json")), random.Random(odd % 1000)
+    builder = tokenstore._Builder(code)
+    for _ in range(30):
+        texts = ["".join(rng.choices("abé 19.'s", k=rng.randint(0, 40))) for _ in range(20)] + ["x" * rng.randint(14, 19)]
+        for i, text in enumerate(texts):
+            builder.add(i, text)
+        shard = tokenstore.Shard(builder.finish()[2])
+        assert [shard.document(i).tolist() for i in range(21)] == [[*code.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    code.MOST_LONG = 0
+    builder.reset()
+    assert len(code) == 0 == len(list(code.items()))
+
+
 def test_random_access():
     rng = np.random.default_rng(3)
     words = [np.array([tokenstore.END]), *(rng.integers(2, 30, rng.integers(1, 6)) for _ in range(40))]
