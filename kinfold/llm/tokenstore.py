@@ -69,7 +69,7 @@ class PartEncoder:
     """
 
     SAFE = re.compile("[\t\n -~À-ÖØ-öø-ÿ]*")
-    MOST, MOST_LONG = 800_000, 100_000  #: parts, and parts in the dictionary, after which a shard begins with no parts
+    MOST, MOST_LONG, MOST_IDS = 800_000, 100_000, 8_000_000  #: parts, parts in the dictionary, and ids, after which a shard begins with no parts
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -96,7 +96,7 @@ class PartEncoder:
         return len(self.ends) - 1
 
     def full(self) -> bool:
-        return len(self) > self.MOST or len(self.long) > self.MOST_LONG
+        return len(self) > self.MOST or len(self.long) > self.MOST_LONG or len(self.ids) > self.MOST_IDS
 
     def items(self) -> Iterator[tuple[str, int]]:
         """Every part with its number."""

@@ -156,6 +156,10 @@ def test_parts_with_equal_mixes(odd, monkeypatch):
     code.MOST_LONG = 0
     builder.reset()
     assert len(code) == 0 == len(list(code.items()))
+    code.MOST_IDS = 10
+    builder.add(1, "a few long parts " + "xyz" * 40)
+    builder.finish()
+    assert len(code) == 0 and len(code.ids) == 1
 
 
 def test_random_access():
