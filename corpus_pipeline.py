@@ -17,7 +17,9 @@ kept by the rules of each operator; empty tables stay empty.
 
 Tables that a stage leaves in the shared folder are deleted when the next stage
 begins, as its output has been written by then; stages of several pipelines
-must not be interleaved in one process.
+must not be interleaved in one process.  Executors collect their garbage at
+that time too, so that a stage's memory does not come on top of what the ones
+before it have left: a JVM keeps a heap that has grown, and workers come beside it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.durable import delete, durable, recorded
+from kinfold.durable import delete, durable, recorded, tidy_executors
 from kinfold.llm import bytebpe, langid, mixing, omh, quality
 from kinfold.llm.queries import _pattern, _vocabulary
 from kinfold.session import ship, table
@@ -45,6 +47,7 @@ def staged(stage: Stage) -> Stage:
         read = {f.rpartition("/")[0].rpartition("/")[2] for f in docs.inputFiles()}
         delete(spark, [p for p in _left if p.rpartition("/")[2] not in read])
         ship(spark)
+        tidy_executors(spark)
         with recorded() as made:
             out = stage(spark, docs, sf_dir)
         _left[:] = made

@@ -17,6 +17,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
@@ -60,6 +61,18 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy_executors(spark: SparkSession) -> None:
+    """Ask every executor for a garbage collection, upon which it gives back what its heap has grown to and the native memory of dead buffers and classes.
+
+    A task for each core, so that no executor is left out; in local mode the driver is the executor.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().isLocal():
+        return tidy(spark)
+    cores = context.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files behind tables made by :func:`durable`."""
     for df in tables:

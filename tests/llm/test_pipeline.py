@@ -2,9 +2,15 @@
 
 import base64
 import hashlib
+import os
+import re
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as vocab
+import pyspark
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -53,3 +59,30 @@ def test_mixing_stage_orders_rows(spark, tmp_path):
     mixed = corpus_pipeline.source_mixing(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in mixed) == sorted(r.doc_id for r in docs.collect())
     assert [r.doc_id for r in mixed] != sorted(r.doc_id for r in mixed)
+
+
+def test_stages_start_on_small_executor_heaps(tmp_path):
+    """An executor of its own JVM fills its heap; the stage that follows makes it give the heap back."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)  # executors work in Spark's home
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+from pyspark.sql import SparkSession, functions as F
+import corpus_pipeline
+conf = {{"spark.master": "local-cluster[1,1,1400]", "spark.executor.memory": "1000m", "spark.executor.extraJavaOptions": "-Xlog:gc:file={tmp_path}/gc.log", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": "{tmp_path}/warehouse"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+spark.range(0, 40, 1, 4).select(F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(700_000)), lambda x: x + F.col("id")))).alias("n")).agg(F.sum("n")).collect()
+print("FILLED", len(open("{tmp_path}/gc.log").readlines()))
+corpus_pipeline.source_mixing(spark, spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string"), "")
+"""
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": str(Path(corpus_pipeline.__file__).parent)}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert not done.returncode, done.stderr[-2000:]
+    filled = int(done.stdout.rpartition("FILLED")[2])
+    lines = (tmp_path / "gc.log").read_text().splitlines()
+    size = lambda part: [int(m) for x in part for m in re.findall(r"\((\d+)M\)", x)]  # noqa: E731  of the heap, MB
+    full = [x for x in lines[filled:] if "Pause Full (System.gc())" in x]
+    assert full and size(full)[0] < max(size(lines[:filled])) / 2
